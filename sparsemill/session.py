@@ -35,6 +35,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInArrow`` whose workers find this package where it lies (on other machines it is installed or given by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = df.sparkSession.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+    return df.mapInArrow(fn, schema)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after counting: beyond ``limit`` rows the side stays a shuffled one."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
