@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparsemill.llm import eval_leaks as E
 from sparsemill.llm import group_topn as T
 from sparsemill.llm import log_percentiles as Q
 from sparsemill.llm import similar_vectors as N
@@ -107,3 +108,17 @@ def p4_neighbours(spark, d):
 @R.add()
 def p6_ids(spark, d):
     return encode_texts(table(spark, d, "documents"))
+
+
+def _leaks(spark, d):
+    return E.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@R.add()
+def p7_found(spark, d):
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@R.add()
+def p7_leak_lengths(spark, d):
+    return _leaks(spark, d)
