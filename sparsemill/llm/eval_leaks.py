@@ -16,6 +16,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,7 @@ class _Folding(dict):
         for c in "■□�":
             self[ord(c)] = "?"
         self[10] = "\n"
+        self[ord(_JOIN)] = _JOIN
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
@@ -88,48 +90,48 @@ _WORDS = re.compile(r"[^\s]+")
 _PLAIN = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("['’‘`´]")
 #: Marks of a word broken at a line end.
-_BROKEN = re.compile(r"[-=¬­‐‑~_]\s*$")
+_BROKEN = re.compile(r"[-=¬­‐‑~_][^\S\n]*\n\s*(?=\S)")
 
 
 def fold(text: str) -> str:
     return text.translate(FOLD)
 
 
+class _Numbers(dict):
+    """Word numbers; a new word gets the next number and its vector."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.vectors = np.empty((4096, 64), np.int8)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        if n >= len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+        bits = np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(word), np.uint8)).astype(np.int8)
+        self.vectors[n] = (2 * bits - 1) * (1 + (len(word) > 4) + (len(word) > 8))
+        return n
+
+
 class Words:
-    """Word numbers and their ±weight vectors; grows with the vocabulary seen and starts anew when large."""
+    """±weight vectors of words; starts anew when the vocabulary grows large."""
 
     LIMIT = 300_000
 
     def __init__(self) -> None:
-        self.reset()
-
-    def reset(self) -> None:
-        self._number: dict[str, int] = {}
-        self._vectors = np.empty((4096, 64), np.int8)
-
-    def numbers(self, words: Sequence[str]) -> np.ndarray:
-        known = self._number
-        if len(known) > self.LIMIT:
-            self.reset()
-            known = self._number
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            n = known.get(w)
-            if n is None:
-                n = known[w] = len(known)
-                if n >= len(self._vectors):
-                    self._vectors = np.concatenate([self._vectors, np.empty_like(self._vectors)])
-                bits = np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(w), np.uint8)).astype(np.int8)
-                self._vectors[n] = (2 * bits - 1) * (1 + (len(w) > 4) + (len(w) > 8))
-            out[i] = n
-        return out
+        self._known = _Numbers()
+
+    def vectors(self, words: Sequence[str]) -> np.ndarray:
+        if len(self._known) > self.LIMIT:
+            self._known = _Numbers()
+        numbers = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+        return self._known.vectors[numbers]
 
     def fingerprints(self, words: Sequence[str]) -> np.ndarray:
         """Of each window of WINDOW words; none for shorter lists."""
         if len(words) < WINDOW:
             return np.empty(0, np.uint64)
-        numbers = self.numbers(words)
-        total = np.cumsum(self._vectors[numbers], axis=0, dtype=np.int32)
+        total = np.cumsum(self.vectors(words), axis=0, dtype=np.int32)
         sums = total[WINDOW - 1 :].copy()
         sums[1:] -= total[:-WINDOW]
         return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
@@ -223,26 +225,12 @@ class Page:
     """A page's reading as one string of folded letters, with the places of its lines and words."""
 
     def __init__(self, lines: Sequence[str]):
-        words: list[str] = []
-        start: list[int] = []
-        self.line_start: list[int] = []
-        at, carry = 0, ""
-        for line in lines:
-            broken = _BROKEN.search(line)
-            split = _WORDS.findall(fold(line))
-            self.line_start.append(at)
-            for i, w in enumerate(split):
-                if i == 0 and carry and words:
-                    words[-1] += w
-                else:
-                    words.append(w)
-                    start.append(at)
-                at += len(w)
-            if split:
-                carry = "-" if broken else ""
-        self.words, self.start = words, start
-        self.text = "".join(words)
-        self.line_start.append(len(self.text))
+        marked = _BROKEN.sub(_JOIN, "\n".join(lines)).translate(FOLD)
+        self.words = marked.replace(_JOIN, "").split()
+        self.start = [0, *accumulate(map(len, self.words))]
+        self.text = "".join(self.words)
+        parts = marked.replace(" ", "").replace(_JOIN, "\n").split("\n")
+        self.line_start = [0, *accumulate(map(len, parts))]
 
     def line_of(self, q: int) -> int:
         return int(np.searchsorted(self.line_start, q, side="right")) - 1

@@ -62,7 +62,7 @@ def readings(text: str, x0: Sequence[int] | None, x1: Sequence[int] | None, y0:
     usable boxes. An empty text has one empty line.
     """
     lines = text.replace("\r", "").split("\n")
-    if len(lines) > 1 and (apart := _split_joined(lines)) is not None:
+    if len(lines) > 1 and "   " in text and (apart := _split_joined(lines)) is not None:
         return [apart]
     if (columns or 1) <= 1 or len(lines) < 3:
         return [lines]
