@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparsemill.llm import eval_leaks as E
 from sparsemill.llm import group_topn as T
 from sparsemill.llm import log_percentiles as Q
+from sparsemill.llm import moderation as M
 from sparsemill.llm import similar_vectors as N
 from sparsemill.llm import term_frequency as C
 from sparsemill.llm.tokenizer_encode import encode_texts
@@ -122,3 +123,18 @@ def p7_found(spark, d):
 @R.add()
 def p7_leak_lengths(spark, d):
     return _leaks(spark, d)
+
+
+@R.add()
+def p8_found(spark, d):
+    return M.page_scores(table(spark, d, "documents")).where(F.col("score") >= M.FOUND).select("doc_id")
+
+
+@R.add()
+def p8_scores(spark, d):
+    return M.page_scores(table(spark, d, "documents"))
+
+
+@R.add()
+def p8_source_rates(spark, d):
+    return M.source_rates(M.page_scores(table(spark, d, "documents")))
