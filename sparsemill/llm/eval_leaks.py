@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
@@ -41,6 +42,8 @@ DENSE_ERRORS, DENSE_LETTERS = 4, 16
 #: A word counts as another one beyond this share of wrong letters (a number with any wrong digit). A run may pass over such a word, which
 #: may be one misread throughout, only between BRIDGE words on either side that are right; it never passes over another number.
 BAD_SHARE, BRIDGE = 0.34, 6
+#: Words whose vectors are held at once.
+PIECE = 20_000
 #: Items handled by one pass over the corpus; more items take more passes, so what a worker holds stays bounded.
 ITEMS_PER_PASS = 20_000
 
@@ -128,9 +131,12 @@ class Words:
         return self._known.vectors[numbers]
 
     def fingerprints(self, words: Sequence[str]) -> np.ndarray:
-        """Of each window of WINDOW words; none for shorter lists."""
+        """Of each window of WINDOW words; none for shorter lists. Long lists are taken in pieces."""
         if len(words) < WINDOW:
             return np.empty(0, np.uint64)
+        if len(words) > PIECE:
+            step = PIECE - WINDOW + 1
+            return np.concatenate([self.fingerprints(words[i : i + PIECE]) for i in range(0, len(words) - WINDOW + 1, step)])
         total = np.cumsum(self.vectors(words), axis=0, dtype=np.int32)
         sums = total[WINDOW - 1 :].copy()
         sums[1:] -= total[:-WINDOW]
@@ -289,17 +295,19 @@ def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:
     if not len(window):
         return out
     backward: tuple[str, list[int]] | None = None
-    covered: dict[int, list[tuple[int, int, int, int]]] = {}
+    covered: dict[int, deque[tuple[int, int, int]]] = {}
     for w, i in zip(window.tolist(), item_window.tolist(), strict=True):
         item, p = int(index.owner[i]), int(index.bounds[index.owner[i]][index.place[i]])
         q = page.start[w]
-        if any(a <= p < b and abs((q - p) - d) <= 12 for a, b, d, _ in covered.get(item, ())):
+        if out.get(item, 0) >= len(index.numeric[item]):
+            continue
+        if any(a <= p < b and abs((q - p) - d) <= 12 for a, b, d in covered.get(item, ())):
             continue
         if backward is None:
             size = len(page.text)
             backward = page.text[::-1], [size - s for s in reversed(page.line_start)]
         low, high, errors = _run(page, backward, index.texts[item], p, q)
-        covered.setdefault(item, []).append((low, high, q - p, 0))
+        covered.setdefault(item, deque(maxlen=16)).append((low, high, q - p))
         n = _printed_words(index.bounds[item], index.numeric[item], low, high, errors)
         if n >= MIN_WORDS:
             out[item] = max(n, out.get(item, 0))

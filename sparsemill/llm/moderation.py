@@ -11,7 +11,7 @@ goods, plants and reports take off what single terms have added. A page's score
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -221,22 +221,22 @@ class Scorer:
                     break
                 last = later[j]
             else:
-                if last - at <= 3 * len(words) + 2 or last - at <= span:
-                    yield at
+                yield at
 
     def score(self, text: str) -> dict[str, float]:
         """Best window score of each kind that has evidence."""
         found = self.evidence(text)
+        places = [x[0] for x in found]
         best: dict[str, float] = {}
         for first, (at, kind, _, _) in enumerate(found):
             if kind == "innocent":
                 continue
-            inside = [x for x in found[first:] if x[0] - at <= WINDOW]
-            near = [x for x in found if x[1] == "innocent" and abs(x[0] - at) <= 10]
+            inside = found[first : bisect_right(places, at + WINDOW, first)]
             distinct = {x[3]: x[2] for x in inside if x[1] == kind}
             total = sum(distinct.values())
             if max(distinct.values()) < 1.0:
-                total -= 0.6 * len({x[3] for x in near})
+                near = found[bisect_left(places, at - 10) : bisect_right(places, at + 10)]
+                total -= 0.6 * len({x[3] for x in near if x[1] == "innocent"})
             best[kind] = max(best.get(kind, 0.0), total)
         return best
 

@@ -5,8 +5,7 @@ least cosine t form its prefix. Two vectors with cosine >= t share a dim of both
 norm < t), so comparing within the cells "prefix dim" misses no pair, and cells of rare dims are small. Cells above ``CELL_ROWS`` are cut
 into blocks that meet pairwise in tasks of their own.
 
-Within a cell: vectors are hashed to ``BITS`` coordinates with signs, randomly rotated, and coded as one bit per coordinate plus the
-correction scalar <code, vector>. <code, query> / <code, vector> estimates the inner product; its standard error follows from the
+Within a cell: each dim has a random place among ``BITS`` coordinates, the vectors are rotated at random there and coded as one bit per coordinate plus the correction scalar <code, vector>. <code, query> / <code, vector> estimates the inner product; its standard error follows from the
 correction scalar and the number of bits, and pairs whose estimate plus ``SIGMAS`` errors reaches t are reranked by exact cosine.
 
 Vectors of equal direction (to float precision) form a class with its smallest row_id as representative; only representatives are
@@ -31,6 +30,8 @@ BITS = 256
 SEED = 20_240_607
 #: Standard errors that an estimate may fall short before a pair is left out.
 SIGMAS = 5.0
+#: Entries of vectors that are rotated at once.
+ENTRIES = 20_000
 #: Rows of a cell (or of each side of a pair of blocks) that one step compares.
 CELL_ROWS = 2048
 #: Slack for float rounding at the least cosine and in the prefixes.
@@ -79,15 +80,16 @@ class Codes:
     """One-bit codes of a set of sparse unit vectors."""
 
     def __init__(self, dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray):
-        mixed = dims.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        sign = np.where((mixed >> np.uint64(63)).astype(bool), 1.0, -1.0)
-        place = ((mixed >> np.uint64(33)) % np.uint64(BITS)).astype(np.int64)
         n = len(offsets) - 1
-        row = np.repeat(np.arange(n), np.diff(offsets))
-        flat = np.bincount(row * BITS + place, weights * sign, n * BITS).reshape(n, BITS)
-        self.rotated = (flat @ _rotation()).astype(np.float32)
+        self.rotated = np.empty((n, BITS), np.float32)
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + ENTRIES, side="right")) - 1)
+            part = slice(offsets[first], offsets[last])
+            moved = _directions(dims[part]) * weights[part].astype(np.float32)[:, None]
+            placed = np.add.reduceat(moved, offsets[first:last] - offsets[first], axis=0) / np.float32(np.sqrt(BITS))
+            self.rotated[first:last] = placed @ _rotation()
+            first = last
         self.norms = np.maximum(np.linalg.norm(self.rotated, axis=1), 1e-12)
         positive = self.rotated > 0
         self.packed = np.packbits(positive, axis=1)
@@ -98,7 +100,7 @@ class Codes:
         return np.unpackbits(self.packed[i], axis=1).astype(np.float32) * 2 - 1
 
     def error(self, i: np.ndarray) -> np.ndarray:
-        """Standard error of the estimates from these codes: of the bits, and of hashing unit vectors to so many coordinates."""
+        """Standard error of the estimates from these codes: of the bits, and of rotating unit vectors into so many coordinates."""
         c2 = np.minimum(self.correction[i] ** 2, 1.0)
         return np.sqrt((1 - c2) / c2 / (BITS - 1) + 2.0 / BITS)
 
@@ -116,12 +118,23 @@ _ROTATION: list[np.ndarray] = []
 
 
 def _rotation() -> np.ndarray:
+    """A random orthogonal matrix, the same everywhere. Without it the bits of a vector of few dims would only show its largest one."""
     if not _ROTATION:
         q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((BITS, BITS)))
-        _ROTATION.append(q * np.sign(np.diag(r)))
+        _ROTATION.append((q * np.sign(np.diag(r))).astype(np.float32))
     return _ROTATION[0]
 
 
+def _directions(dims: np.ndarray) -> np.ndarray:
+    """BITS signs for each dim, the same everywhere: where the dim lies before the rotation."""
+    x = dims.astype(np.uint64)[:, None] * np.uint64(BITS) + np.arange(BITS // 64, dtype=np.uint64)[None, :] + np.uint64(SEED)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    bits = np.unpackbits(x.view(np.uint8).reshape(len(dims), BITS // 8), axis=1)
+    return bits.astype(np.float32) * 2 - 1
+
+
 def _exact(dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of the row pairs (i, j)."""
     n_i, n_j = offsets[i + 1] - offsets[i], offsets[j + 1] - offsets[j]
