@@ -25,7 +25,7 @@ from sparsemill.llm.pages import readings
 from sparsemill.session import map_arrow
 
 #: Score from which a page is a case.
-FOUND = 1.0
+FOUND = 0.6
 #: Words that an expression may span (advertisements may stand inside), and words of a context window.
 SPAN, WINDOW = 26, 40
 #: Entries of a worker's memory of looked-up words; when full it starts anew.

@@ -11,7 +11,7 @@ from sparsemill.llm import moderation as M
 from sparsemill.llm import similar_vectors as N
 from sparsemill.llm import term_frequency as C
 from sparsemill.llm.tokenizer_encode import encode_texts
-from sparsemill.functions.vectors import explode_vectors
+from sparsemill.functions.vectors import explode_vectors, is_valid
 from sparsemill.operators.ingest_log import live_vectors
 from sparsemill.plans.queries import SQL_LIVE
 from sparsemill.plans.registry import Registry
@@ -97,13 +97,15 @@ def p3_counts(spark, d):
 
 @R.add()
 def p4_found(spark, d):
-    near = N.similar_vectors(live_vectors(table(spark, d, "vectors")))
+    log = table(spark, d, "vectors")
+    near = N.similar_vectors(live_vectors(log), log=log.where(is_valid(F.col("indices"), F.col("vals"))))
     return near.select(F.least("row_id", "neighbour").alias("row_id_a"), F.greatest("row_id", "neighbour").alias("row_id_b")).distinct()
 
 
 @R.add()
 def p4_neighbours(spark, d):
-    return N.similar_vectors(live_vectors(table(spark, d, "vectors")), least=0.5)
+    log = table(spark, d, "vectors")
+    return N.similar_vectors(live_vectors(log), least=0.5, log=log.where(is_valid(F.col("indices"), F.col("vals"))))
 
 
 @R.add()

@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsemill.functions.vectors import explode_vectors
-from sparsemill.operators.heavy_keys import split_heavy
-from sparsemill.operators.ingest_log import has_value
 from sparsemill.session import broadcast_if_small, checkpoint, map_arrow
 
 BITS = 256
@@ -34,46 +32,70 @@ SIGMAS = 5.0
 ENTRIES = 20_000
 #: Rows of a cell (or of each side of a pair of blocks) that one step compares.
 CELL_ROWS = 2048
+#: Dims whose number of vectors is looked up; the counts go to all workers (16 bytes each), all other dims count as rare.
+LISTED_DIMS = 200_000
 #: Slack for float rounding at the least cosine and in the prefixes.
-SLACK = 1e-6
+SLACK = 1e-5
 
 
-def unit_vectors(live: DataFrame) -> DataFrame:
-    """``(row_id, entries)``: entries ``(df, dim_id, w)`` of the unit vector in the global order. Elements without a value and zeros are
-    left out; vectors without any entry or with an infinite norm do not appear.
-    """
-    long = explode_vectors(live, "row_id").where(has_value(F.col("weight")) & (F.col("weight") != 0) & (F.abs("weight") < float("inf")))
-    norms = long.groupBy("row_id").agg(F.sqrt(F.sum(F.col("weight").cast("double") * F.col("weight").cast("double"))).alias("norm"))
-    hot, rest = split_heavy(long, ["dim_id"])
-    counts_hot = hot.groupBy("dim_id").agg(F.count(F.lit(1)).alias("df"))
-    counts = rest.groupBy("dim_id").agg(F.count(F.lit(1)).alias("df"))
-    # split_heavy bounds the number of heavy dims, so their counts may be broadcast; all others join on the dim.
-    placed = hot.join(F.broadcast(counts_hot), "dim_id").unionByName(rest.join(counts, "dim_id"))
-    packed = placed.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("df", "dim_id", F.col("weight").cast("double").alias("w")))).alias("entries"))
-    scaled = packed.join(norms, "row_id").where(F.col("norm") > 0)
-    return scaled.select("row_id", F.transform("entries", lambda e: F.struct(e["df"].alias("df"), e["dim_id"].alias("dim_id"), (e["w"] / F.col("norm")).alias("w"))).alias("entries"))
+def common_dims(long: DataFrame, most: int = LISTED_DIMS) -> tuple[np.ndarray, np.ndarray]:
+    """The dims that hold 1 / ``most`` of all entries or more, ascending, and how many each holds: at most ``most`` of them.
 
+    The counts only order dims, so they may come from a log that still has old versions.
+    """
+    counts = long.groupBy("dim_id").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    listed = counts.where((F.col("n") > 1) & (F.col("n") * most >= total)).collect()
+    dims = np.array([r["dim_id"] for r in listed], np.int64)
+    order = np.argsort(dims)
+    return dims[order], np.array([r["n"] for r in listed], np.int64)[order]
 
-def classes(units: DataFrame) -> DataFrame:
-    """``(row_id, class_id)``: equal directions share the smallest row_id."""
-    content = F.xxhash64(F.transform("entries", lambda e: F.struct(e["dim_id"], e["w"].cast("float")))).alias("_h")
-    second = F.md5(F.to_json(F.transform("entries", lambda e: F.struct(e["dim_id"].alias("d"), e["w"].cast("float").alias("w"))))).alias("_m")
-    keyed = units.select("row_id", content, second)
-    first = keyed.groupBy("_h", "_m").agg(F.min("row_id").alias("class_id"))
-    hot, rest = split_heavy(keyed, ["_h", "_m"])
-    heavy_first = hot.select("_h", "_m").distinct().join(first, ["_h", "_m"])
-    return hot.join(F.broadcast(heavy_first), ["_h", "_m"]).unionByName(rest.join(first, ["_h", "_m"])).select("row_id", "class_id")
 
+_UNITS = "row_id bigint, dims array<bigint>, ws array<double>, cells array<bigint>"
 
-def with_cells(units: DataFrame, least: float) -> DataFrame:
-    """Adds ``cells``: the prefix dims."""
-    start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<bigint>").alias("cells"))
 
-    def step(acc, e):
-        cells = F.when(acc["rest"] >= (least - SLACK) ** 2, F.concat(acc["cells"], F.array(e["dim_id"]))).otherwise(acc["cells"])
-        return F.struct((acc["rest"] - e["w"] * e["w"]).alias("rest"), cells.alias("cells"))
+def unit_vectors(live: DataFrame, order: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
+    """``(row_id, dims, ws, cells)``: unit vectors with their entries in the global order (rare dims first, equal ones by id), and the dims
+    of the prefix. Elements without a value and zeros are left out; vectors without any entry or with an infinite norm do not appear.
+    """
+    listed, counts = order
 
-    return units.withColumn("cells", F.aggregate("entries", start, step)["cells"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column(1).flatten(), dtype=np.int64)
+            ws = np.array(batch.column(2).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=np.float64)
+            sizes = np.asarray(batch.column(1).value_lengths())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            norm = np.sqrt(np.bincount(row, np.nan_to_num(ws, nan=0.0, posinf=np.inf, neginf=np.inf) ** 2, len(sizes)))
+            ok = np.isfinite(ws) & (ws != 0) & np.isfinite(norm[row]) & (norm[row] > 0)
+            dims, row, ws = dims[ok], row[ok], ws[ok] / norm[row[ok]]
+            at = np.minimum(np.searchsorted(listed, dims), max(len(listed) - 1, 0))
+            count = np.where(listed[at] == dims, counts[at], 0) if len(listed) else np.zeros(len(dims), np.int64)
+            placed = np.lexsort((dims, count, row))
+            dims, row, ws = dims[placed], row[placed], ws[placed]
+            start = np.searchsorted(row, np.arange(len(sizes) + 1))
+            before = np.concatenate([[0.0], np.cumsum(ws**2)])
+            rest = 1.0 - (before[:-1] - before[start[row]])
+            prefix = rest >= (least - SLACK) ** 2
+            cells = np.concatenate([[0], np.cumsum(prefix)])[start]
+            some = np.flatnonzero(np.diff(start))
+            offsets = np.concatenate([start[some], start[-1:]]).astype(np.int32)
+            cell_offsets = np.concatenate([cells[some], cells[-1:]]).astype(np.int32)
+            ids = batch.column(0).take(pa.array(some))
+            lists = [pa.ListArray.from_arrays(offsets, dims), pa.ListArray.from_arrays(offsets, ws), pa.ListArray.from_arrays(cell_offsets, dims[prefix])]
+            yield pa.RecordBatch.from_arrays([ids, *lists], names=["row_id", "dims", "ws", "cells"])
+
+    usable = live.where(F.col("row_id").isNotNull() & F.col("indices").isNotNull() & F.col("vals").isNotNull())
+    return map_arrow(usable.select("row_id", "indices", "vals"), run, _UNITS)
+
+
+def with_classes(units: DataFrame) -> DataFrame:
+    """Adds ``class_id``, the smallest row_id of an equal direction (128 bits of content hash), and ``copies``, whether there are others."""
+    light = F.transform("ws", lambda w: w.cast("float"))
+    keyed = units.withColumns({"_h": F.xxhash64(F.lit(1), "dims", light), "_m": F.xxhash64(F.lit(2), "dims", light)})
+    classes = keyed.groupBy("_h", "_m").agg(F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    joined = keyed.join(broadcast_if_small(classes), ["_h", "_m"], "left")
+    return joined.withColumns({"class_id": F.coalesce("_first", "row_id"), "copies": F.col("_first").isNotNull()}).drop("_h", "_m", "_first")
 
 
 class Codes:
@@ -190,15 +212,14 @@ def _compare(cell: np.ndarray, side: np.ndarray, row_id: np.ndarray, dims: np.nd
     if not left or not sum(map(len, left)):
         return None
     i, j = np.concatenate(left), np.concatenate(right)
-    found_a, found_b, found_c = [], [], []
+    found_a, found_b = [], []
     for k in range(0, len(i), 100_000):
-        cosine = _exact(dims, weights, offsets, i[k : k + 100_000], j[k : k + 100_000])
-        ok = cosine >= least
+        # Near enough in the cell's float weights; the caller settles the rest in double.
+        ok = _exact(dims, weights, offsets, i[k : k + 100_000], j[k : k + 100_000]) >= least - SLACK
         a, b = row_id[i[k : k + 100_000][ok]], row_id[j[k : k + 100_000][ok]]
         found_a.append(np.minimum(a, b))
         found_b.append(np.maximum(a, b))
-        found_c.append(cosine[ok])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b, found_c)], names=["a", "b", "cosine"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b)], names=["a", "b"])
 
 
 def _comparer(least: float):
@@ -234,7 +255,7 @@ def _comparer(least: float):
 
 def similar_pairs(units: DataFrame, least: float) -> DataFrame:
     """``(a, b, cosine)``, a < b: all pairs of distinct rows with cosine >= least."""
-    cells = with_cells(units, least).select("row_id", F.explode("cells").alias("cell"), F.col("entries.dim_id").alias("dims"), F.col("entries.w").alias("ws"))
+    cells = units.select("row_id", F.explode("cells").alias("cell"), "dims", "ws")
     large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS)
     large = broadcast_if_small(large.select("cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks")))
     tagged = cells.join(large, "cell", "left")
@@ -245,32 +266,42 @@ def similar_pairs(units: DataFrame, least: float) -> DataFrame:
     )
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
     spread = tagged.select("cell", "row_id", "dims", "ws", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meet)).alias("m"))
-    keyed = spread.select(F.xxhash64("cell", "m.i", "m.j").alias("key"), F.col("m.side").alias("side"), "row_id", "dims", "ws")
+    keyed = spread.select(F.xxhash64("cell", "m.i", "m.j").alias("key"), F.col("m.side").alias("side"), "row_id", "dims", F.transform("ws", lambda w: w.cast("float")).alias("ws"))
     placed = keyed.repartition(F.col("key")).sortWithinPartitions("key", "side", "row_id")
-    return map_arrow(placed, _comparer(least), "a bigint, b bigint, cosine double").dropDuplicates(["a", "b"])
+    found = map_arrow(placed, _comparer(least), "a bigint, b bigint").distinct()
+    # The exact cosine of what is left, in double; both sides are joined on the row.
+    entries = units.select(F.col("row_id").alias("a"), F.map_from_arrays("dims", "ws").alias("_a"))
+    others = units.select(F.col("row_id").alias("b"), F.col("dims").alias("_d"), F.col("ws").alias("_w"))
+    both = found.join(entries, "a").join(others, "b")
+    terms = F.zip_with("_d", "_w", lambda d, w: F.coalesce(F.try_element_at("_a", d), F.lit(0.0)) * w)
+    cosine = F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)
+    return both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
 
 
-def similar_vectors(live: DataFrame, k: int = 10, least: float = 0.8) -> DataFrame:
+def similar_vectors(live: DataFrame, k: int = 10, least: float = 0.8, log: DataFrame | None = None) -> DataFrame:
     """``(row_id, neighbour, cosine, rank)``: of every live vector the k most similar others with cosine >= least, equal ones by smaller row_id.
 
-    ``live(row_id, indices, vals)`` has one row per row_id. Vectors without values have no neighbours. Cosines are rounded to nine digits
-    before ranking, so that copies tie.
+    ``live(row_id, indices, vals)`` has one row per row_id; ``log`` may be any table of such vectors to count dims in, by default the
+    live ones. Null rows and vectors without values have no neighbours. Cosines are rounded to nine digits before ranking, so that copies tie.
     """
-    units = checkpoint(unit_vectors(live))
-    member = checkpoint(classes(units))
-    ids = member.select(F.col("class_id").alias("row_id")).distinct()
-    pairs = similar_pairs(units.join(ids, "row_id", "left_semi"), least).select("a", "b", F.round("cosine", 9).alias("cosine"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).unionByName(ids.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(1.0).alias("cosine")))
-    first = Window.partitionBy("class_id").orderBy("row_id")
-    shown = member.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).select(F.col("class_id").alias("b"), F.col("row_id").alias("neighbour"))
-    near = both.join(shown, "b")
+    order = common_dims(explode_vectors(live if log is None else log, "row_id"))
+    units = checkpoint(with_classes(unit_vectors(live, order, least)))
+    first = units.where(F.col("class_id") == F.col("row_id"))
+    pairs = similar_pairs(first, least).select("a", "b", F.round("cosine", 9).alias("cosine"))
+    copied = units.where("copies").select("row_id", "class_id")
+    own = first.where("copies").select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(1.0).alias("cosine"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).unionByName(own)
+    # Of a class k + 1 members are enough to fill any list of k.
+    shown = copied.withColumn("_n", F.row_number().over(Window.partitionBy("class_id").orderBy("row_id"))).where(F.col("_n") <= k + 1)
+    members = shown.groupBy(F.col("class_id").alias("b")).agg(F.collect_list("row_id").alias("_members"))
+    near = both.join(members, "b", "left").select("a", "cosine", F.explode(F.coalesce("_members", F.array("b"))).alias("neighbour"))
     # A class's list of k + 1 rows serves each of its members, which leaves itself out.
     top = Window.partitionBy("a").orderBy(F.desc("cosine"), F.col("neighbour"))
-    lists = near.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1).groupBy("a").agg(F.collect_list(F.struct("cosine", "neighbour")).alias("list"))
-    hot, rest = split_heavy(member, ["class_id"])
-    hot_lists = lists.join(F.broadcast(hot.select(F.col("class_id").alias("a")).distinct()), "a", "left_semi")
-    joined = hot.join(F.broadcast(hot_lists), F.col("class_id") == F.col("a")).unionByName(rest.join(lists, F.col("class_id") == F.col("a")))
-    others = F.filter("list", lambda e: e["neighbour"] != F.col("row_id"))
-    ordered = F.slice(F.array_sort(F.transform(others, lambda e: F.struct((-e["cosine"]).alias("c"), e["neighbour"].alias("neighbour")))), 1, max(k, 1))
-    out = joined.select("row_id", F.posexplode(ordered).alias("p", "e"))
-    return out.where(F.col("p") < k).select("row_id", F.col("e.neighbour").alias("neighbour"), (-F.col("e.c")).alias("cosine"), (F.col("p") + 1).alias("rank"))
+    best = near.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1)
+    entry = F.struct((-F.col("cosine")).alias("c"), F.col("neighbour").alias("neighbour"))
+    lists = best.groupBy("a").agg(F.array_sort(F.collect_list(entry)).alias("_list"))
+    rest = copied.where(F.col("class_id") != F.col("row_id"))
+    every = lists.select(F.col("a").alias("row_id"), "_list").unionByName(rest.join(lists, F.col("class_id") == F.col("a")).select("row_id", "_list"))
+    others = F.slice(F.filter("_list", lambda e: e["neighbour"] != F.col("row_id")), 1, max(k, 1))
+    out = every.select("row_id", F.posexplode(others).alias("p", "e")).where(F.col("p") < k)
+    return out.select("row_id", F.col("e.neighbour").alias("neighbour"), (-F.col("e.c")).alias("cosine"), (F.col("p") + 1).alias("rank"))
