@@ -24,6 +24,7 @@ DIRECTED = "you du tu such that but espèce toi".split()
 
 THREATS = """
 son bitch
+bag filth
 break jaw
 break neck
 smash teeth
@@ -65,7 +66,7 @@ let shop bed
 gehören ausgerottet
 ersäufen
 lande gepeitscht
-kein recht leben
+kein recht
 chasse coups fouet
 méritent vivre
 jette mer
@@ -107,6 +108,10 @@ race immonde
 sont parasites
 sont vermine
 sont rats
+ces vermine
+ces parasites
+ces rats
+les jette
 """.strip().splitlines()
 
 BODY = "breasts nipples thighs buttocks loins".split()

@@ -89,10 +89,14 @@ def unit_vectors(live: DataFrame, order: tuple[np.ndarray, np.ndarray], least: f
     return map_arrow(usable.select("row_id", "indices", "vals"), run, _UNITS)
 
 
-def with_classes(units: DataFrame) -> DataFrame:
-    """Adds ``class_id``, the smallest row_id of an equal direction (128 bits of content hash), and ``copies``, whether there are others."""
+def with_content(units: DataFrame) -> DataFrame:
+    """Adds ``_h`` and ``_m``, 128 bits of content hash: equal for equal directions (to float precision)."""
     light = F.transform("ws", lambda w: w.cast("float"))
-    keyed = units.withColumns({"_h": F.xxhash64(F.lit(1), "dims", light), "_m": F.xxhash64(F.lit(2), "dims", light)})
+    return units.withColumns({"_h": F.xxhash64(F.lit(1), "dims", light), "_m": F.xxhash64(F.lit(2), "dims", light)})
+
+
+def with_classes(keyed: DataFrame) -> DataFrame:
+    """Adds ``class_id``, the smallest row_id of an equal content, and ``copies``, whether there are others."""
     classes = keyed.groupBy("_h", "_m").agg(F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
     joined = keyed.join(broadcast_if_small(classes), ["_h", "_m"], "left")
     return joined.withColumns({"class_id": F.coalesce("_first", "row_id"), "copies": F.col("_first").isNotNull()}).drop("_h", "_m", "_first")
@@ -285,7 +289,7 @@ def similar_vectors(live: DataFrame, k: int = 10, least: float = 0.8, log: DataF
     live ones. Null rows and vectors without values have no neighbours. Cosines are rounded to nine digits before ranking, so that copies tie.
     """
     order = common_dims(explode_vectors(live if log is None else log, "row_id"))
-    units = checkpoint(with_classes(unit_vectors(live, order, least)))
+    units = with_classes(checkpoint(with_content(unit_vectors(live, order, least))))
     first = units.where(F.col("class_id") == F.col("row_id"))
     pairs = similar_pairs(first, least).select("a", "b", F.round("cosine", 9).alias("cosine"))
     copied = units.where("copies").select("row_id", "class_id")

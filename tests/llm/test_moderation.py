@@ -73,7 +73,7 @@ def test_frames_and_rates(spark):
     rows = [(1, "a", bad, 1, None, "x"), (2, "a", None, None, None, None), (3, None, "", 1, [], "x"), (4, None, "wheat was dear", 2, None, "x"), (1, "a", bad, 1, None, "x")]
     df = spark.createDataFrame(rows, SCHEMA)
     scored = M.page_scores(df)
-    assert sorted((r["doc_id"], r["score"] >= 1) for r in scored.collect()) == [(1, True), (1, True), (2, False), (3, False), (4, False)]
+    assert sorted((r["doc_id"], r["score"] >= M.FOUND) for r in scored.collect()) == [(1, True), (1, True), (2, False), (3, False), (4, False)]
     assert {r["source"]: (r["n_pages"], r["n_found"]) for r in M.source_rates(scored).collect()} == {"a": (3, 2), None: (2, 0)}
     assert M.page_scores(df.limit(0)).collect() == []
 
