@@ -11,7 +11,7 @@ from sparsemill.config import IndexSettings
 from sparsemill.functions.vectors import collect_vectors
 from sparsemill.operators.merge import NoMerge
 from sparsemill.plans.queries import QUERY, SQL_L, SQL_V, R, _search_sql, event_postings, line_vectors
-from sparsemill.session import ensure_checkpoint_dir
+from sparsemill.session import checkpoint, ensure_checkpoint_dir
 from sparsemill.sources.index import SparseIndex
 from sparsemill.streaming.ingest import commit_batch
 
@@ -25,7 +25,7 @@ def scratch_path(spark: SparkSession) -> str:
 def _line_index(spark: SparkSession, d: str, settings: IndexSettings | None = None, parts: int = 3) -> SparseIndex:
     """Index over all line item vectors, committed in ``parts`` segments."""
     index = SparseIndex.create(spark, scratch_path(spark), settings)
-    vectors = collect_vectors(line_vectors(spark, d))
+    vectors = checkpoint(collect_vectors(line_vectors(spark, d)))
     with index.writer(NoMerge()) as writer:
         for part in range(parts):
             writer.append(vectors.where(F.col("row_id") % parts == part))

@@ -45,6 +45,15 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def spread_small(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores is dealt out over all of them; any larger one stays as it is, without a shuffle.
+
+    For work that costs far more than moving its rows, on inputs of one or two files.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after counting: beyond ``limit`` rows the side stays a shuffled one."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,8 +146,10 @@ class SparseIndex:
             data = P.quantize_postings(data, stored).select("dim_id", "row_id", "code", "opstamp")
         elif self.settings.element == "extended":
             data = P.with_suffix_max(data, 0.0 if self.settings.weight == "u8" else float("-inf"))
+        data = data.persist(StorageLevel.DISK_ONLY)  # sampled for its ranges, then written
         writer = data.repartitionByRange("dim_id", "row_id").sortWithinPartitions("dim_id", "row_id").write.mode("overwrite")
         writer.options(**self.settings.writer_options()).parquet(self.segment_path(segment_id))
+        data.unpersist()
         rows.select("row_id", "opstamp").write.mode("overwrite").parquet(self.segment_path(segment_id, "rows"))
         counted = self.spark.read.parquet(self.segment_path(segment_id, "rows")).agg(
             F.countDistinct("row_id").alias("n"), F.min("opstamp").alias("lo"), F.max("opstamp").alias("hi")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +100,10 @@ class IndexWriter:
     def _store(self, vectors: DataFrame, check: bool = True) -> Segment | None:
         if check:
             vectors = vectors.withColumn("indices", require_valid(F.col("indices"), F.col("vals")))
+        vectors = vectors.persist(StorageLevel.DISK_ONLY)  # read for postings and for rows
         postings = P.upsert(P.build_postings(vectors, False, self.index.settings.weight, "opstamp"), keep_stamp=True)
         segment = self.index.write_segment(str(uuid.uuid4()), postings, vectors.groupBy("row_id").agg(F.max("opstamp").alias("opstamp")))
+        vectors.unpersist()
         if segment:
             self._staged.append(segment)
         return segment
