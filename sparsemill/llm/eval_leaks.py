@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparsemill.llm.pages import readings
-from sparsemill.session import map_arrow
+from sparsemill.session import map_arrow, spread_small
 
 WINDOW = 5
 RADIUS = 3
@@ -361,7 +361,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", "n_columns", F.col("boxes.x0").alias("x0"), F.col("boxes.x1").alias("x1"), F.col("boxes.y0").alias("y0"))
     out = None
     for chunk in chunks:
-        found = map_arrow(pages, _finder(chunk), "doc_id bigint, item_id string, n_words int")
+        found = map_arrow(spread_small(pages), _finder(chunk), "doc_id bigint, item_id string, n_words int")
         out = found if out is None else out.unionByName(found)
     return out
 

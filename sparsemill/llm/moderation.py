@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sparsemill.llm import lexicon as L
 from sparsemill.llm.eval_leaks import _BROKEN, fold, page_rows
 from sparsemill.llm.pages import readings
-from sparsemill.session import map_arrow
+from sparsemill.session import map_arrow, spread_small
 
 #: Score from which a page is a case.
 FOUND = 0.6
@@ -255,7 +255,7 @@ def page_scores(documents: DataFrame) -> DataFrame:
     Null and empty texts score 0; boxes may be null, short or swapped (see ``pages.readings``).
     """
     pages = documents.select("doc_id", "source", "text", "n_columns", F.col("boxes.x0").alias("x0"), F.col("boxes.x1").alias("x1"), F.col("boxes.y0").alias("y0"))
-    return map_arrow(pages, _score_batches, "doc_id bigint, source string, abuse double, hate double, sexual double, score double")
+    return map_arrow(spread_small(pages), _score_batches, "doc_id bigint, source string, abuse double, hate double, sexual double, score double")
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

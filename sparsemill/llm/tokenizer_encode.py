@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparsemill.session import map_arrow
+from sparsemill.session import map_arrow, spread_small
 
 #: Folder with the public vocabulary files, of byte_bpe_50k.tiktoken (base64 token, rank) among others.
 VOCABULARY = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -155,4 +155,4 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text: str = "text", v
             ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_column, "ids"])
 
-    return map_arrow(df.select(id_column, text), run, f"`{id_column}` {kind}, ids array<int>")
+    return map_arrow(spread_small(df.select(id_column, text)), run, f"`{id_column}` {kind}, ids array<int>")
