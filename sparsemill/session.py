@@ -23,7 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "sparsemill-checkpoints")
     sc.setCheckpointDir(named)
