@@ -95,7 +95,11 @@ def p3_counts(spark, d):
     return _dims(spark, d).withColumnRenamed("term", "dim_id")
 
 
-@R.add()
+@R.add(
+    f"""WITH {SQL_LIVE}, X AS (SELECT row_id, unnest(indices) AS d, CAST(unnest(vals) AS DOUBLE) AS w FROM LIVE), E AS (SELECT * FROM X WHERE w IS NOT NULL AND NOT isnan(w)),
+ N AS (SELECT row_id, sqrt(sum(w * w)) AS n FROM E GROUP BY 1), U AS (SELECT row_id, d, w / n AS w FROM E JOIN N USING (row_id) WHERE n > 0)
+ SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM U a JOIN U b ON a.d = b.d AND a.row_id < b.row_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8"""
+)
 def p4_found(spark, d):
     log = table(spark, d, "vectors")
     near = N.similar_vectors(live_vectors(log), log=log.where(is_valid(F.col("indices"), F.col("vals"))))
