@@ -98,6 +98,14 @@ they are parasites
 they are savages
 they are scum
 they are vermin
+is animals they
+is cancer they
+is cockroaches they
+is filth they
+is lice they
+is maggots they
+is savages they
+is scum they
 lower breed
 dieses ungeziefer
 dieses abschaum

@@ -5,7 +5,7 @@ Words are looked up in a lexicon that is kept as a trie; what is not in it liter
 comparing it with every entry; shorter words, of which most are one letter from an ordinary one, must agree up to letters that scanners
 take for each other. Terms then count by context: expressions need their words in order within a span, an insult needs an
 abusive adjective or an address before it, a body term an act beside it; the evidence of a window of words adds up, and words of animals,
-goods, plants and reports take off what single terms have added. A page's score is that of its best window; from ``FOUND`` on it is a case.
+goods, plants and reports take off what single terms have added (not what expressions have). A page's score is that of its best window; from ``FOUND`` on it is a case.
 """
 
 from __future__ import annotations
@@ -234,7 +234,7 @@ class Scorer:
             inside = found[first : bisect_right(places, at + WINDOW, first)]
             distinct = {x[3]: x[2] for x in inside if x[1] == kind}
             total = sum(distinct.values())
-            if max(distinct.values()) < 1.0:
+            if not any(" " in what or weight >= 1.0 for what, weight in distinct.items()):
                 near = found[bisect_left(places, at - 10) : bisect_right(places, at + 10)]
                 total -= 0.6 * len({x[3] for x in near if x[1] == "innocent"})
             best[kind] = max(best.get(kind, 0.0), total)
