@@ -109,7 +109,7 @@ def p4_found(spark, d):
 @R.add()
 def p4_neighbours(spark, d):
     log = table(spark, d, "vectors")
-    return N.similar_vectors(live_vectors(log), least=0.5, log=log.where(is_valid(F.col("indices"), F.col("vals"))))
+    return N.similar_vectors(live_vectors(log), least=None, log=log.where(is_valid(F.col("indices"), F.col("vals"))))
 
 
 @R.add()

@@ -1,6 +1,6 @@
-"""The k most similar vectors of every sparse vector by cosine, from a least similarity on.
+"""The k most similar vectors of every sparse vector by cosine: from a least similarity on, or without one.
 
-Candidates: dims are put in one global order, rare ones first. Of a unit vector the leading dims up to where the rest has a norm below the
+With a least similarity (``similar_pairs``). Candidates: dims are put in one global order, rare ones first. Of a unit vector the leading dims up to where the rest has a norm below the
 least cosine t form its prefix. Two vectors with cosine >= t share a dim of both prefixes (otherwise all they share lies in a rest of
 norm < t), so comparing within the cells "prefix dim" misses no pair, and cells of rare dims are small. Cells above ``CELL_ROWS`` are cut
 into blocks that meet pairwise in tasks of their own.
@@ -8,6 +8,11 @@ into blocks that meet pairwise in tasks of their own.
 Within a cell: each dim has a random place among ``BITS`` coordinates, the vectors are rotated at random there and coded as one bit per coordinate plus the correction scalar <code, vector>. <code, query> / <code, vector> estimates the inner product; its standard error follows from the
 correction scalar and the number of bits, and pairs whose estimate plus ``SIGMAS`` errors reaches t are reranked by exact cosine.
 
+Without one (``nearest_pairs``) a representative meets all others, exactly and in double: blocks of them hold their best so far while all
+others pass by twice. First the pairs that share a dim few vectors have are met by dim. What is left can only share the common dims, which
+are columns of a matrix product; it passes in descending order of its norm there, and is compared where the product of both norms, the most
+that their cosine can be, reaches the k-th cosine found. No pair that belongs into a list is left out.
+
 Vectors of equal direction (to float precision) form a class with its smallest row_id as representative; only representatives are
 compared, and a class enters others' lists with at most k + 1 members, which is all that a list of k can hold.
 """
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparsemill.functions.vectors import explode_vectors
@@ -34,6 +39,14 @@ ENTRIES = 20_000
 CELL_ROWS = 2048
 #: Dims whose number of vectors is looked up; the counts go to all workers (16 bytes each), all other dims count as rare.
 LISTED_DIMS = 200_000
+#: Without a least cosine: representatives whose best are held at once, how many of them meet how many others in one product, and pairs
+#: that are met by dim in one step (of one row at least).
+BLOCK_ROWS = 32_768
+PART_ROWS = 256
+STEP_ROWS = 1024
+STEP_PAIRS = 2_000_000
+#: Most dims that become columns of the products; such a dim is in 1 / ``COLUMNS`` of the vectors or more.
+COLUMNS = 256
 #: Slack for float rounding at the least cosine and in the prefixes.
 SLACK = 1e-5
 
@@ -282,19 +295,216 @@ def similar_pairs(units: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
 
 
-def similar_vectors(live: DataFrame, k: int = 10, least: float = 0.8, log: DataFrame | None = None) -> DataFrame:
+class _Block:
+    """Representatives that hold their k best while others pass by."""
+
+    def __init__(self, row_id: np.ndarray, dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray, common: np.ndarray, k: int):
+        self.row_id, self.common, self.k = row_id, common, k
+        self.dense, self.dims, self.row, self.ws = _split(dims, ws, offsets, common)
+        self.norm = np.linalg.norm(self.dense, axis=1)
+        placed = np.argsort(self.dims, kind="stable")
+        self.dims, self.row, self.ws = self.dims[placed], self.row[placed], self.ws[placed]
+        self.near = np.full((len(row_id), k), np.iinfo(np.int64).max, np.int64)
+        self.cosine = np.full((len(row_id), k), -np.inf)
+
+    def meet(self, row_id: np.ndarray, dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray, norm: np.ndarray | None) -> None:
+        """Rows pass by: first all without ``norm``, to be met by dim, then all in descending order of it."""
+        first = 0
+        pairs = np.zeros(len(dims) + 1, np.int64)
+        np.cumsum(np.searchsorted(self.dims, dims, side="right") - np.searchsorted(self.dims, dims), out=pairs[1:])
+        pairs = pairs[offsets]
+        while first < len(row_id):
+            last = min(first + STEP_ROWS, len(row_id), max(first + 1, int(np.searchsorted(pairs, pairs[first] + STEP_PAIRS, side="right")) - 1))
+            part = slice(offsets[first], offsets[last])
+            rows = row_id[first:last], dims[part], ws[part], offsets[first : last + 1] - offsets[first]
+            if norm is None:
+                self._by_dim(*rows)
+            elif len(active := np.flatnonzero(self.norm * norm[first] >= self.cosine[:, -1] - 1e-9)):
+                self._by_product(active, *rows)
+            first = last
+
+    def _shared(self, m: int, dims: np.ndarray, row: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own row * m + the other's, ascending, of pairs that share a dim outside the columns, and what such dims give."""
+        low, high = np.searchsorted(self.dims, dims), np.searchsorted(self.dims, dims, side="right")
+        sizes = high - low
+        entry = np.repeat(np.arange(len(dims)), sizes)
+        at = np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+        pair, where = np.unique(self.row[at] * m + row[entry], return_inverse=True)
+        return pair, np.bincount(where, self.ws[at] * ws[entry], len(pair))
+
+    def _by_dim(self, row_id: np.ndarray, dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray) -> None:
+        dense, *rest = _split(dims, ws, offsets, self.common)
+        pair, cosine = self._shared(len(row_id), *rest)
+        i, j = pair // len(row_id), pair % len(row_id)
+        for s in range(0, len(i), 100_000):
+            part = slice(s, s + 100_000)
+            self._offer(i[part], row_id[j[part]], cosine[part] + np.einsum("pc,pc->p", self.dense[i[part]], dense[j[part]]))
+
+    def _by_product(self, active: np.ndarray, row_id: np.ndarray, dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray) -> None:
+        m = len(row_id)
+        dense, *rest = _split(dims, ws, offsets, self.common)
+        columns = np.ascontiguousarray(dense.T)
+        met, _ = self._shared(m, *rest)
+        for s in range(0, len(active), PART_ROWS):
+            own = active[s : s + PART_ROWS]
+            product = self.dense[own] @ columns
+            limit = self.cosine[own, -1:] - 1e-9
+            hit = np.flatnonzero(product >= limit)
+            if len(hit) > 4 * self.k * len(own):
+                # Pairs met by dim and the row itself are none of those that count here.
+                outside = product.copy()
+                known = met[np.isin(met // m, own)]
+                outside[np.searchsorted(own, known // m), known % m] = -np.inf
+                outside[self.row_id[own][:, None] == row_id] = -np.inf
+                if m > self.k:
+                    hit = np.flatnonzero(outside >= np.maximum(limit, np.partition(outside, m - self.k, axis=1)[:, m - self.k, None] - 1e-9))
+            i, j = own[hit // m], hit % m
+            fresh = ~np.isin(i * m + j, met)
+            self._offer(i[fresh], row_id[j[fresh]], product.reshape(-1)[hit[fresh]])
+
+    def _offer(self, i: np.ndarray, near: np.ndarray, cosine: np.ndarray) -> None:
+        cosine = np.round(cosine, 9)
+        worst = self.cosine[i, -1]
+        better = ((cosine > worst) | ((cosine == worst) & (near < self.near[i, -1]))) & (near != self.row_id[i])
+        if better.any():
+            self._take(i[better], near[better], cosine[better])
+
+    def _take(self, i: np.ndarray, near: np.ndarray, cosine: np.ndarray) -> None:
+        rows = np.unique(i)
+        i = np.concatenate([np.repeat(rows, self.k), i])
+        near = np.concatenate([self.near[rows].ravel(), near])
+        cosine = np.concatenate([self.cosine[rows].ravel(), cosine])
+        placed = np.lexsort((near, -cosine, i))
+        i = i[placed]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        kept = rank < self.k
+        placed = placed[kept]
+        self.near[rows] = near[placed].reshape(-1, self.k)
+        self.cosine[rows] = cosine[placed].reshape(-1, self.k)
+
+    def pairs(self) -> pa.RecordBatch:
+        i, at = np.nonzero(self.cosine > -np.inf)
+        columns = self.row_id[i], self.near[i, at], self.cosine[i, at] + 0.0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "cosine"])
+
+
+def _split(dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A matrix of the common dims, and the other entries' dims, rows and weights."""
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    dense = np.zeros((n, len(common)))
+    if not len(common):
+        return dense, dims, row, ws
+    at = np.minimum(np.searchsorted(common, dims), len(common) - 1)
+    known = common[at] == dims
+    dense[row[known], at[known]] = ws[known]
+    return dense, dims[~known], row[~known], ws[~known]
+
+
+def _with_norm(common: np.ndarray):
+    """Adds the norm in the common dims."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, ws = batch.column(1), np.asarray(batch.column(2).flatten())
+            sizes = np.asarray(lists.value_lengths())
+            known = np.isin(np.asarray(lists.flatten()), common)
+            norm = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.where(known, ws, 0.0) ** 2, len(sizes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm)], names=["row_id", "dims", "ws", "norm"])
+
+    return run
+
+
+def _nearest(common: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        block: _Block | None = None
+        last = None
+        for batch in batches:
+            key, side, row_id, norm = (np.asarray(batch.column(i)) for i in (0, 1, 2, 5))
+            lists, lists_w = batch.column(3), batch.column(4)
+            dims, ws = np.asarray(lists.flatten()), np.asarray(lists_w.flatten())
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                if s == e:
+                    continue
+                part = slice(offsets[s], offsets[e])
+                rows = row_id[s:e], dims[part], ws[part], np.diff(offsets[s : e + 1])
+                if key[s] != last:
+                    if block is not None:
+                        yield block.pairs()
+                    block, held, last = None, [], key[s]
+                if side[s] == 0:
+                    held.append(rows)
+                    continue
+                if block is None:
+                    # A block without rows of its own has nobody to compare.
+                    if not held:
+                        continue
+                    ids, d, w, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+                    block, held = _Block(ids, d, w, np.concatenate([[0], np.cumsum(sizes)]), common, k), []
+                block.meet(*rows[:3], np.concatenate([[0], np.cumsum(rows[3])]), norm[s:e] if side[s] == 2 else None)
+        if block is not None:
+            yield block.pairs()
+
+    return run
+
+
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that repartition(n, number) sends to n different partitions."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    most = 64
+    while True:
+        found = {r["p"]: r["id"] for r in spark.range(most * n).groupBy(place.alias("p")).agg(F.min("id").alias("id")).collect()}
+        if len(found) == n:
+            return [found[p] for p in range(n)]
+        most *= 2
+
+
+def nearest_pairs(units: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
+    """``(a, b, cosine)``: of every row its k nearest others whatever the cosine (nine digits), equal ones by smaller row_id.
+
+    Each block of rows meets all rows in one task, so the rows are sent twice for each block.
+    """
+    n = units.count()
+    cores = units.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n // BLOCK_ROWS), min(cores, -(-n // (2 * STEP_ROWS))), 1)
+    blocks = -(-blocks // cores) * cores if blocks > cores else blocks
+    listed, counts = order
+    top = np.argsort(-counts, kind="stable")[:COLUMNS]
+    common = np.sort(listed[top[counts[top] * COLUMNS >= n]])
+    keys = F.array(*[F.lit(x).cast("int") for x in _keys(units.sparkSession, blocks)])
+    own = F.element_at(keys, F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int") + 1)
+    normed = map_arrow(units.select("row_id", "dims", "ws"), _with_norm(common), "row_id bigint, dims array<bigint>, ws array<double>, norm double")
+    sides = F.array(F.lit(1), F.lit(2))
+    queries = normed.select(own.alias("key"), F.lit(0).alias("side"), "row_id", "dims", "ws", "norm")
+    passing = normed.select(F.explode(keys).alias("key"), "row_id", "dims", "ws", "norm").select("key", F.explode(sides).alias("side"), "row_id", "dims", "ws", "norm")
+    placed = queries.unionByName(passing).repartition(blocks, "key").sortWithinPartitions("key", "side", F.desc("norm"), "row_id")
+    return map_arrow(placed, _nearest(common, k), "a bigint, b bigint, cosine double")
+
+
+def similar_vectors(live: DataFrame, k: int = 10, least: float | None = 0.8, log: DataFrame | None = None) -> DataFrame:
     """``(row_id, neighbour, cosine, rank)``: of every live vector the k most similar others with cosine >= least, equal ones by smaller row_id.
 
+    If ``least`` is None the k most similar others come out whatever their cosine, also 0 or below: k of them for every vector with a value,
+    if there are so many others.
     ``live(row_id, indices, vals)`` has one row per row_id; ``log`` may be any table of such vectors to count dims in, by default the
     live ones. Null rows and vectors without values have no neighbours. Cosines are rounded to nine digits before ranking, so that copies tie.
     """
     order = common_dims(explode_vectors(live if log is None else log, "row_id"))
-    units = with_classes(checkpoint(with_content(unit_vectors(live, order, least))))
+    # No prefix of a unit vector is needed (its rest never reaches 2) where all are compared.
+    units = with_classes(checkpoint(with_content(unit_vectors(live, order, 2.0 if least is None else least))))
     first = units.where(F.col("class_id") == F.col("row_id"))
-    pairs = similar_pairs(first, least).select("a", "b", F.round("cosine", 9).alias("cosine"))
+    if least is None:
+        # Kept, as the lists are read twice below.
+        directed = checkpoint(nearest_pairs(first, order, k + 1))
+    else:
+        pairs = similar_pairs(first, least).select("a", "b", F.round("cosine", 9).alias("cosine"))
+        directed = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     copied = units.where("copies").select("row_id", "class_id")
     own = first.where("copies").select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(1.0).alias("cosine"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).unionByName(own)
+    both = directed.unionByName(own)
     # Of a class k + 1 members are enough to fill any list of k.
     shown = copied.withColumn("_n", F.row_number().over(Window.partitionBy("class_id").orderBy("row_id"))).where(F.col("_n") <= k + 1)
     members = shown.groupBy(F.col("class_id").alias("b")).agg(F.collect_list("row_id").alias("_members"))

@@ -5,6 +5,9 @@ import numpy as np
 import pytest
 
 import sparsemill.llm.similar_vectors as N
+from sparsemill.llm.queries import R
+from sparsemill.operators.ingest_log import live_vectors
+from sparsemill.session import table
 
 SCHEMA = "row_id bigint, indices array<bigint>, vals array<float>, segment_id string, cells int"
 
@@ -54,6 +57,44 @@ def test_against_brute_force(spark, monkeypatch, least, cell_rows):
     assert {x[:2] for x in got} == {x[:2] for x in want}
 
 
+@pytest.mark.parametrize("rows,columns", [(1024, 256), (16, 256), (16, 2)])
+def test_nearest_without_a_least_cosine(spark, monkeypatch, rows, columns):
+    monkeypatch.setattr(N, "STEP_ROWS", rows)
+    monkeypatch.setattr(N, "PART_ROWS", rows)
+    monkeypatch.setattr(N, "COLUMNS", columns)
+    vectors = make(random.Random(5), 250)
+    df = spark.createDataFrame([(r, d, v, "s", 1) for r, (d, v) in vectors.items()], SCHEMA)
+    got = {(r["row_id"], r["neighbour"], r["rank"]) for r in N.similar_vectors(df, 10, None).collect()}
+    want = brute(vectors, 10, -2)
+    assert len({x[0] for x in want}) > 200 and len(want) == 10 * len({x[0] for x in want})
+    assert got == want
+
+
+def test_lists_are_filled_with_zeros_and_below(spark):
+    rows = [(i, [1], [1.0 + i], "s", 1) for i in range(2)] + [(5, [2], [1.0], "s", 1), (6, [1], [-1.0], "s", 1), (7, [], [], "s", 1)]
+    got = {}
+    for r in N.similar_vectors(spark.createDataFrame(rows, SCHEMA), 3, None).collect():
+        got.setdefault(r["row_id"], {})[r["rank"]] = (r["neighbour"], r["cosine"])
+    assert got[0] == {1: (1, 1.0), 2: (5, 0.0), 3: (6, -1.0)}
+    assert got[5] == {1: (0, 0.0), 2: (1, 0.0), 3: (6, 0.0)}
+    assert set(got) == {0, 1, 5, 6}
+
+
+def test_neighbours_query_has_ten_for_every_vector(spark):
+    found = {}
+    for r in R.queries["p4_neighbours"](spark, "/root/testdata/sf0.001").collect():
+        found.setdefault(r["row_id"], []).append((-r["cosine"], r["neighbour"]))
+    live = live_vectors(table(spark, "/root/testdata/sf0.001", "vectors")).collect()
+    cosine = cosines({r["row_id"]: (r["indices"], r["vals"]) for r in live})
+    want = {}
+    for (a, b), c in cosine.items():
+        want.setdefault(a, []).append((-round(c, 9), b))
+    assert set(found) == set(want)
+    for a, near in found.items():
+        best = sorted(want[a])[:10]
+        assert len(near) == 10 and np.allclose([c for c, _ in sorted(near)], [c for c, _ in best], atol=1e-6)
+
+
 def test_copies_are_each_others_neighbours(spark):
     rows = [(i, [1, 2], [1.0, 2.0], "s", 1) for i in range(30)] + [(99, [1, 2], [2.0, 4.0], "s", 1), (100, [5], [1.0], "s", 1)]
     got = {}
