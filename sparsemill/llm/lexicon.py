@@ -8,8 +8,8 @@ from __future__ import annotations
 INSULT_NOUNS = """
 arse bastard bitch blackguard blockhead coward cretin cur dunghill guttersnipe hag halfwit idiot imbecile moron pig rat rascal scoundrel
 slut swine toad wretch whore worm
-arschloch drecksack drecksau hund hure idiot lump miststück sau schurke schwein
-chien cochon connard crétin fumier imbécile lâche ordure porc putain salaud salope
+arschloch drecksack drecksau feigling halunke hund hure hurensohn idiot lump miststück nutte sau schlampe schurke schwein trottel
+canaille chien cochon connard crapule crétin fumier gredin imbécile lâche ordure porc putain salaud salope vaurien
 """.split()
 
 INSULT_ADJECTIVES = """
@@ -43,8 +43,17 @@ call yourself nothing
 verrecke
 schlage zähne
 halt maul
+dich umbringen
+dich totschlagen
+dir genick brechen
+dir knochen brechen
+dir kehle durchschneiden
 tais toi gueule
 casserai gueule
+te tuerai
+te casserai dents
+te trancherai gorge
+te tordrai cou
 crève donc
 """.strip().splitlines()
 
@@ -122,9 +131,17 @@ ces rats
 les jette
 """.strip().splitlines()
 
-BODY = "breasts nipples thighs buttocks loins".split()
+BODY = """
+breasts nipples thighs buttocks loins
+brüste brüsten brustwarzen hinterbacken schamlippen
+tétons fesses
+""".split()
 
-ACTS = "fondled groped licked stroked squeezed caressed undressed thrust moaned arousal lust climaxed".split()
+ACTS = """
+fondled groped licked stroked squeezed caressed undressed thrust moaned arousal lust climaxed
+begrapschte befummelte streichelte leckte knetete entkleidete stöhnte wollust
+caressait caressa lécha léchait pelotait tripotait déshabilla gémissait volupté jouissance
+""".split()
 
 EXPLICIT = """
 thrust into her
@@ -135,6 +152,17 @@ spent wet bed
 stark naked fire
 begged taken again
 until climaxed
+stöhnte wollust
+stöhnte lust
+spreizte beine
+drang stöhnte
+nackt bett stöhnte
+gémissait plaisir
+gémit plaisir
+écarta cuisses
+pénétra gémit
+caressa seins
+caressait seins
 """.strip().splitlines()
 
 SUGGESTIVE = """
@@ -142,6 +170,13 @@ naked body
 naked hips
 pressed mouth
 let him see
+nackten hüften
+nackte hüften
+nackten schenkel
+nackte schenkel
+seins nus
+hanches nues
+cuisses nues
 """.strip().splitlines()
 
 #: Words of animals, goods, tools, weather, plants and reports near which a single term says nothing.
@@ -154,4 +189,5 @@ sexes screw cracked finger lanes limed play treats mongrel biting destroyed with
 ORDINARY = set("""
 breast bullocks buttons bastion choice liking lapped licences listen lockets marked naked pressing pounds spreads squeeze stroke threats
 treat trust thirsts thrusts tights worth parties scorned swings exterior cattle
+brüstung büsten fosses messes fesse tresses
 """.split())

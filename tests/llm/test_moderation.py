@@ -47,6 +47,28 @@ def test_innocent(scorer, text):
     assert not found(scorer, text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Er leckte ihre Brustwarzen, bis sie vor Lust stöhnte.", "Sie spreizte die Beine und er drang in sie ein.", "Il caressait ses fesses et elle gémissait de plaisir.",
+        "Elle écarta les cuisses, les seins nus.", "Ich werde dir das Genick brechen!", "Je te trancherai la gorge !", "Du elender Feigling!", "Espèce de vaurien !",
+    ],
+)
+def test_explicit_and_offensive_in_german_and_french(scorer, text):
+    assert found(scorer, text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Die Brüstung der Brücke wurde erneuert, und die Büsten stehen im Saal.", "On creusa des fosses ; les messes furent dites, et les soins du médecin.",
+        "Der Dieb brach sich beim Sturz die Knochen.", "Les cuisses de poulet se vendent bien.", "Der Hund bellte, und der Feigling lief davon.",
+    ],
+)
+def test_innocent_in_german_and_french(scorer, text):
+    assert not found(scorer, text)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
