@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
@@ -31,10 +31,10 @@ from sparsemill.session import map_arrow, spread_small
 WINDOW = 5
 RADIUS = 3
 MIN_WORDS = 13
-#: Lines of other matter that may stand between two lines of a passage.
+#: Lines of other matter beyond which a passage must go on with FAR_LETTERS letters; up to here fewer are enough.
 SKIP_LINES = 8
-#: Interruptions of one passage that are followed, in each direction.
-MAX_SKIPS = 64
+#: Letters of the item that a line beyond SKIP_LINES must follow.
+FAR_LETTERS = 24
 #: Letters that must agree again after a misread one.
 RESUME = 4
 #: More disagreements than DENSE_ERRORS within DENSE_LETTERS letters end a run.
@@ -237,24 +237,26 @@ class Page:
         self.text = "".join(self.words)
         parts = marked.replace(" ", "").replace(_JOIN, "\n").split("\n")
         self.line_start = [0, *accumulate(map(len, parts))]
+        #: Filled where a passage is followed.
+        self.heads: dict[str, list[int]] = {}
 
     def line_of(self, q: int) -> int:
         return int(np.searchsorted(self.line_start, q, side="right")) - 1
 
 
-def _run(page: Page, backward: tuple[str, list[int]], item: str, p: int, q: int) -> tuple[int, int, list[int]]:
+def _run(page: Page, backward: tuple[str, list[int], dict[str, list[int]]], item: str, p: int, q: int) -> tuple[int, int, list[int]]:
     """The item's letters [from, to) that the page prints in order around the common place (p, q), and those that disagree."""
     errors: list[int] = []
-    forward = _extend(page.text, page.line_start, item, p, q, errors)
-    text, starts = backward
+    forward = _extend(page.text, page.line_start, page.heads, item, p, q, errors)
+    text, starts, heads = backward
     behind: list[int] = []
-    back = _extend(text, starts, item[::-1], len(item) - p, len(page.text) - q, behind)
+    back = _extend(text, starts, heads, item[::-1], len(item) - p, len(page.text) - q, behind)
     return len(item) - back, forward, errors + [len(item) - 1 - x for x in behind]
 
 
-def _extend(text: str, starts: list[int], item: str, p: int, q: int, errors: list[int]) -> int:
+def _extend(text: str, starts: list[int], heads: dict[str, list[int]], item: str, p: int, q: int, errors: list[int]) -> int:
     """How far the item is followed from (p, q): to where it breaks off inside a line, or over whole lines in between."""
-    for _ in range(MAX_SKIPS):
+    while True:
         p, q = _follow(item, p, text, q, errors)
         if p >= len(item) or q >= len(text):
             return p
@@ -279,10 +281,40 @@ def _extend(text: str, starts: list[int], item: str, p: int, q: int, errors: lis
                     break
             if best:
                 break
+        if not best:
+            best = _far(text, starts, heads, item, p, q, ends)
         if not best:
             return p
         p, q = best[1], best[2]
-    return p
+
+
+def _heads(text: str, starts: list[int]) -> dict[str, list[int]]:
+    """Lines' starts by the first six letters from there on."""
+    out: dict[str, list[int]] = {}
+    for at in starts[:-1]:
+        out.setdefault(text[at : at + 6], []).append(at)
+    return out
+
+
+def _far(text: str, starts: list[int], heads: dict[str, list[int]], item: str, p: int, q: int, ends: list[int]) -> tuple[int, int, int] | None:
+    """Where the passage goes on beyond SKIP_LINES lines, however many: at the line that follows the item longest, by FAR_LETTERS at least."""
+    best = None
+    for end in ends:
+        slack = starts[end + 1] - q
+        first = end + 2 + SKIP_LINES
+        if first >= len(starts) - 1:
+            continue
+        for shift in range(min(slack, 0) - 2, max(slack, 0) + 3):
+            r = p + shift
+            if not 0 <= r <= len(item) - FAR_LETTERS:
+                continue
+            places = heads.get(item[r : r + 6], ())
+            for at in places[bisect_left(places, starts[first]) :]:
+                wrong: list[int] = []
+                gain, _ = _follow(item, r, text, at, wrong)
+                if gain - r >= FAR_LETTERS and len(wrong) * 10 <= gain - r and (best is None or gain > best[0]):
+                    best = (gain, r, at)
+    return best
 
 
 def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:
@@ -294,7 +326,7 @@ def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:
     out: dict[int, int] = {}
     if not len(window):
         return out
-    backward: tuple[str, list[int]] | None = None
+    backward: tuple[str, list[int], dict[str, list[int]]] | None = None
     covered: dict[int, deque[tuple[int, int, int]]] = {}
     for w, i in zip(window.tolist(), item_window.tolist(), strict=True):
         item, p = int(index.owner[i]), int(index.bounds[index.owner[i]][index.place[i]])
@@ -305,7 +337,9 @@ def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:
             continue
         if backward is None:
             size = len(page.text)
-            backward = page.text[::-1], [size - s for s in reversed(page.line_start)]
+            text, starts = page.text[::-1], [size - s for s in reversed(page.line_start)]
+            backward = text, starts, _heads(text, starts)
+            page.heads = _heads(page.text, page.line_start)
         low, high, errors = _run(page, backward, index.texts[item], p, q)
         covered.setdefault(item, deque(maxlen=16)).append((low, high, q - p))
         n = _printed_words(index.bounds[item], index.numeric[item], low, high, errors)

@@ -40,6 +40,15 @@ def test_whole_parts_and_disguises(spark):
     assert not {6, 7, 8} & got
 
 
+def test_interruptions_of_many_lines(spark):
+    between = [f"{w} number {k}" for k, w in enumerate(OTHER)]
+    long = "\n".join(lines_of(WORDS[2:9], 7) + between + lines_of(WORDS[9:16], 7))
+    apart = "\n".join(lines_of(WORDS[2:9], 7) + between + lines_of(WORDS[14:21], 7))
+    short = "\n".join(lines_of(WORDS[2:8], 7) + between + lines_of(WORDS[8:14], 7))
+    assert len(between) > E.SKIP_LINES
+    assert found(spark, [long, apart, short]) == {(0, "i1")}
+
+
 def test_columns_and_boxes(spark):
     left, right = lines_of(WORDS, 4), lines_of(OTHER * 3, 4)
     n = min(len(left), len(right))
