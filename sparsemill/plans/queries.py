@@ -539,7 +539,8 @@ def p5_found(spark, d):
  SELECT dim_id, count(*) AS n, count(v) AS n_values, min(v) AS w_min, max(v) AS w_max FROM Y GROUP BY 1"""
 )
 def p5_dims(spark, d):
-    return H.dim_summary(V.explode_vectors(live_vectors(table(spark, d, "vectors")), "row_id"))
+    log = table(spark, d, "vectors")
+    return H.dim_summary(V.explode_vectors(live_vectors(log), "row_id"), counted=log.select(F.explode("indices").alias("dim_id")))
 
 
 def all_queries() -> Registry:

@@ -211,7 +211,15 @@ def test_best_of_lists(spark, share):
 
 def test_heavy_keys_are_bounded_and_splits_are_whole(spark):
     df = spark.createDataFrame([(i % 3 if i % 2 else None, i) for i in range(3000)], "k bigint, v bigint")
-    assert H.heavy_keys(df, ["k"], 0.1, 1).count() <= 10
+    assert 1 <= len(H.heavy_hashes(df, ["k"], 0.1)) <= 10 and H.heavy_hashes(df.where("v < 0"), ["k"]) == []
     hot, rest = H.split_heavy(df, ["k"], 0.3)
     assert sorted(r["v"] for r in hot.unionByName(rest).collect()) == list(range(3000))
     assert H.best_of_lists(spark.createDataFrame([], LISTS)).collect() == []
+
+
+def test_a_key_of_equal_rows_is_heavy(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, -7).otherwise(F.col("id")).alias("k"), F.lit(1).alias("v"))
+    hot, rest = H.split_heavy(df, ["k"])
+    assert [r["k"] for r in hot.distinct().collect()] == [-7] and hot.count() == 10_000 and rest.count() == 10_000
+    other, whole = H.split_heavy(df, ["k"], counted=df.where("k >= 0"))
+    assert other.count() == 0 and whole.count() == 20_000

@@ -53,6 +53,12 @@ def test_light_lists_take_one_shuffle(spark):
     assert light.count("Exchange hashpartitioning") == 1 and "LeftAnti" in text and "LeftSemi" in text
 
 
+def test_summaries_combine_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(i, i % 40, 1.0) for i in range(400)], "row_id bigint, dim_id bigint, weight float")
+    light = plan(H.dim_summary(rows)).split("Union")[1].split("LeftAnti")[0]
+    assert light.count("Exchange hashpartitioning") == 1 and light.index("partial_count") > light.index("Exchange hashpartitioning")
+
+
 def test_the_core_stands_alone():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['sparsemill.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p5_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
