@@ -55,3 +55,23 @@ def test_buckets_are_monotone_and_thresholds_safe(spark):
     assert buckets == sorted(buckets)
     limit = thresholds(rows, ["g"], 10).first()["_min_bucket"]
     assert sum(b >= limit for b in buckets) >= 10
+
+
+def test_groups_without_a_threshold(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("abcd"), i, rnd.uniform(-9, 9), 1) for i in range(2000)]
+    got = {(r["g"], r["row_id"], r["rank"]) for r in top_n(frame(spark, rows), ["g"], 5, most=1).collect()}
+    assert got == brute(rows, 5)
+
+
+def test_rows_are_filtered_before_they_move_by_group(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = top_n(spark.range(1000).selectExpr("id % 3 as g", "id as row_id", "double(id) as score", "id as opstamp"), ["g"])
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+    # From the ranking down to the filter, rows move by group once, and only what the filter and the group limit have left.
+    above = text[: text.index("BroadcastHashJoin")]
+    assert above.count("Exchange hashpartitioning(g") == 1 and above.index("Exchange hashpartitioning(g") < above.rindex("WindowGroupLimit")
