@@ -1,17 +1,21 @@
 """The k most similar vectors of every sparse vector by cosine: from a least similarity on, or without one.
 
-With a least similarity (``similar_pairs``). Candidates: dims are put in one global order, rare ones first. Of a unit vector the leading dims up to where the rest has a norm below the
-least cosine t form its prefix. Two vectors with cosine >= t share a dim of both prefixes (otherwise all they share lies in a rest of
-norm < t), so comparing within the cells "prefix dim" misses no pair, and cells of rare dims are small. Cells above ``CELL_ROWS`` are cut
-into blocks that meet pairwise in tasks of their own.
-
-Within a cell: each dim has a random place among ``BITS`` coordinates, the vectors are rotated at random there and coded as one bit per coordinate plus the correction scalar <code, vector>. <code, query> / <code, vector> estimates the inner product; its standard error follows from the
-correction scalar and the number of bits, and pairs whose estimate plus ``SIGMAS`` errors reaches t are reranked by exact cosine.
-
-Without one (``nearest_pairs``) a representative meets all others, exactly and in double: blocks of them hold their best so far while all
-others pass by twice. First the pairs that share a dim few vectors have are met by dim. What is left can only share the common dims, which
-are columns of a matrix product; it passes in descending order of its norm there, and is compared where the product of both norms, the most
-that their cosine can be, reaches the k-th cosine found. No pair that belongs into a list is left out.
+Every vector is coded once: each dim has a random place among ``BITS`` coordinates, the vector is rotated at random there and kept as one
+bit per coordinate plus the correction scalar <code, vector>. Inner products are estimated from packed bits and correction scalars; a pair is
+reranked by its exact cosine where the estimate plus ``SIGMAS`` standard errors leaves it a place in the result.
+
+With a least similarity t (``similar_pairs``). Dims are put in one global order, rare ones first. Of a unit vector the leading dims up to
+where the rest has a norm below t form its prefix. Two vectors with cosine >= t share a dim of both prefixes (otherwise all they share lies
+in a rest of norm < t), so meeting within the cells "prefix dim" misses no pair, and cells of rare dims are small. A cell above ``CELL_ROWS``
+is cut into blocks that meet pairwise in tasks of their own; one above ``GIANT_ROWS`` is first divided by bands of code bits, as many as let
+a pair of cosine t share one with probability ``BAND_RECALL``.
+
+Without one (``nearest_pairs``) the search has two steps. (1) Dims that at most ``CELL_ROWS`` vectors hold are met by cell, exactly; that
+gives most lists, and the k-th cosine of each. (2) What shares no such dim can only be as near as the product of both norms in the common
+dims. The vectors that this bound leaves in question look for neighbours among those it admits, by codes of their parts in the common dims:
+coarse partitions are prefixes of the code as long as leave about ``CELL_ROWS`` rows each, and a query visits the ``PROBES`` prefixes that its
+rotated coordinates make most likely. Lists that still lack cosines above 0 are filled from
+the rows with the smallest ids.
 
 Vectors of equal direction (to float precision) form a class with its smallest row_id as representative; only representatives are
 compared, and a class enters others' lists with at most k + 1 members, which is all that a list of k can hold.
@@ -19,11 +23,12 @@ compared, and a class enters others' lists with at most k + 1 members, which is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsemill.functions.vectors import explode_vectors
@@ -35,18 +40,18 @@ SEED = 20_240_607
 SIGMAS = 5.0
 #: Entries of vectors that are rotated at once.
 ENTRIES = 20_000
-#: Rows of a cell (or of each side of a pair of blocks) that one step compares.
-CELL_ROWS = 2048
+#: Rows of a cell (or of both blocks that meet) that one step compares.
+CELL_ROWS = 1024
+#: Rows from which a cell is divided by bands of code bits, and the share of pairs at the least cosine that the bands bring together.
+GIANT_ROWS = 65_536
+BAND_RECALL = 0.999
+#: Code prefixes that a query visits, and queries that one task compares with a prefix's rows.
+PROBES = 16
+QUERY_ROWS = 4096
+#: Rows that short lists are filled from.
+FILL_ROWS = 64
 #: Dims whose number of vectors is looked up; the counts go to all workers (16 bytes each), all other dims count as rare.
 LISTED_DIMS = 200_000
-#: Without a least cosine: representatives whose best are held at once, how many of them meet how many others in one product, and pairs
-#: that are met by dim in one step (of one row at least).
-BLOCK_ROWS = 32_768
-PART_ROWS = 256
-STEP_ROWS = 1024
-STEP_PAIRS = 2_000_000
-#: Most dims that become columns of the products; such a dim is in 1 / ``COLUMNS`` of the vectors or more.
-COLUMNS = 256
 #: Slack for float rounding at the least cosine and in the prefixes.
 SLACK = 1e-5
 
@@ -64,14 +69,21 @@ def common_dims(long: DataFrame, most: int = LISTED_DIMS) -> tuple[np.ndarray, n
     return dims[order], np.array([r["n"] for r in listed], np.int64)[order]
 
 
-_UNITS = "row_id bigint, dims array<bigint>, ws array<double>, cells array<bigint>"
+# ---- vectors and codes
+
+_UNITS = "row_id bigint, dims array<bigint>, ws array<double>, cells array<bigint>, code binary, correction float, norm double"
 
 
-def unit_vectors(live: DataFrame, order: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
-    """``(row_id, dims, ws, cells)``: unit vectors with their entries in the global order (rare dims first, equal ones by id), and the dims
-    of the prefix. Elements without a value and zeros are left out; vectors without any entry or with an infinite norm do not appear.
+def unit_vectors(live: DataFrame, order: tuple[np.ndarray, np.ndarray], least: float | None) -> DataFrame:
+    """``(row_id, dims, ws, cells, code, correction, norm)``: unit vectors with their entries in the global order (rare dims first, equal ones
+    by id), the dims in whose cells they meet, and their code.
+
+    With a least cosine the cells are the prefix and the code is of the whole vector. Without one the cells are the dims that are not common,
+    and code and ``norm`` are those of the part in the common dims. Elements without a value and zeros are left out; vectors without any
+    entry or with an infinite norm do not appear.
     """
     listed, counts = order
+    common = listed[counts > CELL_ROWS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,23 +97,36 @@ def unit_vectors(live: DataFrame, order: tuple[np.ndarray, np.ndarray], least: f
             at = np.minimum(np.searchsorted(listed, dims), max(len(listed) - 1, 0))
             count = np.where(listed[at] == dims, counts[at], 0) if len(listed) else np.zeros(len(dims), np.int64)
             placed = np.lexsort((dims, count, row))
-            dims, row, ws = dims[placed], row[placed], ws[placed]
+            dims, row, ws, count = dims[placed], row[placed], ws[placed], count[placed]
             start = np.searchsorted(row, np.arange(len(sizes) + 1))
-            before = np.concatenate([[0.0], np.cumsum(ws**2)])
-            rest = 1.0 - (before[:-1] - before[start[row]])
-            prefix = rest >= (least - SLACK) ** 2
-            cells = np.concatenate([[0], np.cumsum(prefix)])[start]
+            if least is None:
+                met = count <= CELL_ROWS
+                codes = Codes(dims[~met], ws[~met], np.searchsorted(row[~met], np.arange(len(sizes) + 1)), common)
+            else:
+                before = np.concatenate([[0.0], np.cumsum(ws**2)])
+                met = 1.0 - (before[:-1] - before[start[row]]) >= (least - SLACK) ** 2
+                codes = Codes(dims, ws, start)
+            cells = np.concatenate([[0], np.cumsum(met)])[start]
             some = np.flatnonzero(np.diff(start))
             offsets = np.concatenate([start[some], start[-1:]]).astype(np.int32)
             cell_offsets = np.concatenate([cells[some], cells[-1:]]).astype(np.int32)
-            ids = batch.column(0).take(pa.array(some))
-            lists = [pa.ListArray.from_arrays(offsets, dims), pa.ListArray.from_arrays(offsets, ws), pa.ListArray.from_arrays(cell_offsets, dims[prefix])]
-            yield pa.RecordBatch.from_arrays([ids, *lists], names=["row_id", "dims", "ws", "cells"])
+            lists = [pa.ListArray.from_arrays(offsets, dims), pa.ListArray.from_arrays(offsets, ws), pa.ListArray.from_arrays(cell_offsets, dims[met])]
+            code = [_binary(codes.packed[some]), pa.array(codes.correction[some].astype(np.float32)), pa.array(codes.true_norms[some])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *lists, *code], names=["row_id", "dims", "ws", "cells", "code", "correction", "norm"])
 
     usable = live.where(F.col("row_id").isNotNull() & F.col("indices").isNotNull() & F.col("vals").isNotNull())
     return map_arrow(usable.select("row_id", "indices", "vals"), run, _UNITS)
 
 
+def _binary(packed: np.ndarray) -> pa.Array:
+    offsets = (np.arange(len(packed) + 1) * packed.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))])
+
+
+def _packed(codes: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+
+
 def with_content(units: DataFrame) -> DataFrame:
     """Adds ``_h`` and ``_m``, 128 bits of content hash: equal for equal directions (to float precision)."""
     light = F.transform("ws", lambda w: w.cast("float"))
@@ -116,41 +141,56 @@ def with_classes(keyed: DataFrame) -> DataFrame:
 
 
 class Codes:
-    """One-bit codes of a set of sparse unit vectors."""
+    """One-bit codes of sparse vectors. Dims in ``columns`` (at most BITS of them) have a coordinate of their own, so that nothing but the
+    bits blurs the estimates; without columns, or with more of them, each dim is spread over all coordinates by random signs.
+    """
 
-    def __init__(self, dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray):
+    def __init__(self, dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray, columns: np.ndarray | None = None):
         n = len(offsets) - 1
-        self.rotated = np.empty((n, BITS), np.float32)
+        self.own = columns is not None and len(columns) <= BITS
+        self.rotated = np.zeros((n, BITS), np.float32)
         first = 0
         while first < n:
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + ENTRIES, side="right")) - 1)
             part = slice(offsets[first], offsets[last])
-            moved = _directions(dims[part]) * weights[part].astype(np.float32)[:, None]
-            placed = np.add.reduceat(moved, offsets[first:last] - offsets[first], axis=0) / np.float32(np.sqrt(BITS))
+            placed = np.zeros((last - first, BITS), np.float32)
+            row = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
+            if self.own:
+                placed[row, np.searchsorted(columns, dims[part])] = weights[part]
+            elif len(row):
+                moved = _directions(dims[part]) * weights[part].astype(np.float32)[:, None]
+                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                placed[row[starts]] = np.add.reduceat(moved, starts, axis=0) / np.float32(np.sqrt(BITS))
             self.rotated[first:last] = placed @ _rotation()
             first = last
         self.norms = np.maximum(np.linalg.norm(self.rotated, axis=1), 1e-12)
-        positive = self.rotated > 0
-        self.packed = np.packbits(positive, axis=1)
+        #: Norms of the vectors themselves.
+        self.true_norms = np.sqrt(np.bincount(np.repeat(np.arange(n), np.diff(offsets)), weights**2, n))
+        self.packed = np.packbits(self.rotated > 0, axis=1)
         #: <code, direction>, the correction of the estimates.
-        self.correction = np.abs(self.rotated).sum(1) / (np.sqrt(BITS) * self.norms)
+        self.correction = np.maximum(np.abs(self.rotated).sum(1) / (np.sqrt(BITS) * self.norms), 1e-6)
 
-    def signs(self, i: np.ndarray) -> np.ndarray:
-        return np.unpackbits(self.packed[i], axis=1).astype(np.float32) * 2 - 1
 
-    def error(self, i: np.ndarray) -> np.ndarray:
-        """Standard error of the estimates from these codes: of the bits, and of rotating unit vectors into so many coordinates."""
-        c2 = np.minimum(self.correction[i] ** 2, 1.0)
-        return np.sqrt((1 - c2) / c2 / (BITS - 1) + 2.0 / BITS)
+def signs(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
 
-    def estimate_all(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Estimated inner products of codes i with vectors j, as a matrix."""
-        scale = self.norms[i] / (np.sqrt(BITS) * self.correction[i])
-        return (self.signs(i) @ self.rotated[j].T) * scale[:, None]
 
-    def estimate_pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        scale = self.norms[i] / (np.sqrt(BITS) * self.correction[i])
-        return np.einsum("pb,pb->p", self.signs(i), self.rotated[j]) * scale
+def estimate_by_codes(one: np.ndarray, correction: np.ndarray, two: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines of rows of two lists of packed codes (pairwise, or of all pairs where they broadcast), and their standard errors.
+
+    Both sides are bits, so the angle's sine is overrated at large cosines, which only leaves more pairs in.
+    """
+    apart = np.bitwise_count(one.view(np.uint64) ^ two.view(np.uint64)).sum(-1, dtype=np.int64)
+    scale = correction * other
+    return (1.0 - 2.0 * apart / BITS) / scale, 1.0 / (np.sqrt(BITS) * scale)
+
+
+def estimate_by_vectors(rotated: np.ndarray, packed: np.ndarray, correction: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of rotated queries (rows) with coded vectors of given norms (columns), and standard errors of the bits."""
+    c2 = np.minimum(correction.astype(np.float64) ** 2, 1.0)
+    estimate = (rotated @ signs(packed).T) * (norms / (np.sqrt(BITS) * correction))[None, :]
+    error = np.linalg.norm(rotated, axis=1)[:, None] * (norms * np.sqrt((1 - c2) / c2 / (BITS - 1)))[None, :]
+    return estimate, error
 
 
 _ROTATION: list[np.ndarray] = []
@@ -174,8 +214,8 @@ def _directions(dims: np.ndarray) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
-def _exact(dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Inner products of the row pairs (i, j)."""
+def _exact(dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the row pairs (i, j), and whether they share a dim whose entries are ``marked``."""
     n_i, n_j = offsets[i + 1] - offsets[i], offsets[j + 1] - offsets[j]
 
     def gather(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,318 +229,384 @@ def _exact(dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray, i: np.nda
     key_i = pair_i.astype(np.uint64) << width | dims[at_i].astype(np.uint64)
     key_j = pair_j.astype(np.uint64) << width | dims[at_j].astype(np.uint64)
     _, a, b = np.intersect1d(key_i, key_j, assume_unique=True, return_indices=True)
-    return np.bincount(pair_i[a], weights[at_i[a]] * weights[at_j[b]], len(i))
-
-
-def _compare(cell: np.ndarray, side: np.ndarray, row_id: np.ndarray, dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray, least: float) -> pa.RecordBatch | None:
-    """Pairs of whole cells. Side 0: compared among each other; sides 1 and 2: blocks of a large cell that meet."""
-    codes = Codes(dims, weights, offsets)
-    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(cell)]]))
-    left, right = [], []
-
-    def keep(i: np.ndarray, j: np.ndarray, estimate: np.ndarray) -> None:
-        near = estimate + SIGMAS * codes.error(i) >= least - SLACK
-        left.append(i[near])
-        right.append(j[near])
-
-    small = sizes <= 32
-    for size in np.unique(sizes[small]):
-        if size < 2:
-            continue
-        first = starts[small & (sizes == size)]
-        a, b = np.triu_indices(size, 1)
-        i, j = (first[:, None] + a).ravel(), (first[:, None] + b).ravel()
-        met = (side[i] == 0) | (side[i] != side[j])
-        i, j = i[met], j[met]
-        for k in range(0, len(i), 16_384):
-            keep(i[k : k + 16_384], j[k : k + 16_384], codes.estimate_pairs(i[k : k + 16_384], j[k : k + 16_384]))
-    for s, n in zip(starts[~small], sizes[~small], strict=True):
-        members = np.arange(s, s + n)
-        one = members if side[s] == 0 else members[side[members] == 1]
-        two = members if side[s] == 0 else members[side[members] == 2]
-        for k in range(0, len(one), 1024):
-            i = one[k : k + 1024]
-            estimate = codes.estimate_all(i, two) + SIGMAS * codes.error(i)[:, None]
-            x, y = np.nonzero(estimate >= least - SLACK)
-            forward = (i[x] < two[y]) | (side[s] != 0)
-            left.append(i[x[forward]])
-            right.append(two[y[forward]])
-    if not left or not sum(map(len, left)):
-        return None
-    i, j = np.concatenate(left), np.concatenate(right)
-    found_a, found_b = [], []
-    for k in range(0, len(i), 100_000):
-        # Near enough in the cell's float weights; the caller settles the rest in double.
-        ok = _exact(dims, weights, offsets, i[k : k + 100_000], j[k : k + 100_000]) >= least - SLACK
-        a, b = row_id[i[k : k + 100_000][ok]], row_id[j[k : k + 100_000][ok]]
-        found_a.append(np.minimum(a, b))
-        found_b.append(np.maximum(a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b)], names=["a", "b"])
-
-
-def _comparer(least: float):
+    shared = np.zeros(len(i), bool)
+    if marked is not None:
+        shared[pair_i[a[marked[at_i[a]]]]] = True
+    return np.bincount(pair_i[a], weights[at_i[a]] * weights[at_j[b]], len(i)), shared
+
+
+# ---- cells
+
+
+class Rows:
+    """Some rows of ``_PLACED`` as arrays."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.key, self.side, self.cell, self.row_id = (np.asarray(table.column(c)) for c in ("key", "side", "cell", "row_id"))
+        lists, ws = table.column("dims").combine_chunks(), table.column("ws").combine_chunks()
+        self.dims, self.ws = np.asarray(lists.flatten()), np.asarray(ws.flatten())
+        self.offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        self.row = np.repeat(np.arange(len(self.key)), np.diff(self.offsets))
+        self._table = table
+
+    @property
+    def packed(self) -> np.ndarray:
+        return _packed(self._table.column("code").combine_chunks())
+
+    def column(self, name: str) -> np.ndarray:
+        return np.asarray(self._table.column(name))
+
+
+def in_cells(units: DataFrame, *carry: str, band: Callable[[int], tuple[int, int]] | None = None) -> DataFrame:
+    """``(key, side, cell, row_id, dims, ws, carry)`` placed and sorted by key: one copy of a row for each of its cells.
+
+    Side 0 meets all of its key. A cell above CELL_ROWS is cut into blocks; each pair of them has a key, where sides 1 and 2 meet. With
+    ``band`` a cell above GIANT_ROWS is divided first: band(rows) gives the bits of a band and their number.
+    """
+    copies = units.select("row_id", F.explode("cells").alias("cell"), "dims", "ws", *carry)
+    sizes = copies.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS)
+    cut = F.col("cell")
+    if band is not None:
+        giants = {r["cell"]: band(r["n"]) for r in sizes.where(F.col("n") > GIANT_ROWS).limit(LISTED_DIMS).collect()}
+        if giants:
+            banded = map_arrow(copies.where(F.col("cell").isin(list(giants))), _by_band(giants), f"{_schema(copies)}, cut bigint")
+            copies = copies.where(~F.col("cell").isin(list(giants))).withColumn("cut", F.xxhash64("cell")).unionByName(banded)
+            sizes = copies.groupBy("cut").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).withColumnRenamed("cut", "cell")
+            cut = F.col("cut")
+    half = max(CELL_ROWS // 2, 1)
+    large = broadcast_if_small(sizes.select(F.col("cell").alias("_cut"), F.ceil(F.col("n") / half).cast("int").alias("blocks")))
+    tagged = copies.join(large, cut == F.col("_cut"), "left")
+    own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
+    meet = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side")),
+    )
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
+    spread = tagged.withColumn("m", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meet)))
+    keyed = spread.select(F.xxhash64(cut, "m.i", "m.j").alias("key"), F.col("m.side").alias("side"), "cell", "row_id", "dims", "ws", *carry)
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key", "side", "row_id")
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def bands(least: float, rows: int) -> tuple[int, int]:
+    """Bits of a band that leave about CELL_ROWS of the rows each, and the number of bands that bring BAND_RECALL of the pairs together."""
+    bits = max(1, math.ceil(math.log2(rows / CELL_ROWS)))
+    together = (1 - math.acos(min(max(least, -1.0), 1.0)) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - BAND_RECALL) / math.log1p(-min(together, 1 - 1e-12))))
+
+
+def _by_band(giants: dict[int, tuple[int, int]]):
+    """A copy of each row for each band of its code, ``cut`` being cell, band and bits in one hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.asarray(batch.column(batch.schema.get_field_index("cell")))
+            bits = np.unpackbits(_packed(batch.column(batch.schema.get_field_index("code"))), axis=1)
+            for cell in np.unique(cells):
+                width, count = giants[int(cell)]
+                rows = np.flatnonzero(cells == cell)
+                draw = np.random.default_rng(SEED)
+                for b in range(count):
+                    chosen = bits[rows][:, draw.choice(BITS, width, replace=False)].astype(np.uint64) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
+                    mixed = (chosen * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(b)) * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(int(cell) & (2**63 - 1))
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(mixed.view(np.int64))], names=[*batch.schema.names, "cut"])
+
+    return run
+
+
+def _by_key(compare: Callable[[Rows], pa.RecordBatch | None]):
+    """Hands whole keys to ``compare``, a few thousand rows at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(keep_last: bool) -> pa.RecordBatch | None:
-            table = pa.Table.from_batches(held).combine_chunks()
+        def flush(last: bool) -> pa.RecordBatch | None:
+            table = pa.Table.from_batches(held)
             held.clear()
             key = np.asarray(table.column("key"))
-            cut = len(key)
-            if keep_last:
-                cut = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
-                if cut < len(key):
-                    held.extend(table.slice(cut).to_batches())
-            table = table.slice(0, cut)
-            if not cut:
-                return None
-            lists = table.column("dims").combine_chunks()
-            lists_w = table.column("ws").combine_chunks()
-            sizes = np.asarray(lists.value_lengths())
-            return _compare(np.asarray(table.column("key")), np.asarray(table.column("side")), np.asarray(table.column("row_id")), np.asarray(lists.flatten()), np.asarray(lists_w.flatten()), np.concatenate([[0], np.cumsum(sizes)]), least)
+            cut = len(key) if last else int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
+            if cut < len(key):
+                held.extend(table.slice(cut).to_batches())
+            return compare(Rows(table.slice(0, cut))) if cut else None
 
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= 2 * CELL_ROWS and (out := flush(True)) is not None:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) >= 2 * CELL_ROWS and (out := flush(False)) is not None:
                 yield out
-        if held and (out := flush(False)) is not None:
+        if held and (out := flush(True)) is not None:
             yield out
 
     return run
 
 
-def similar_pairs(units: DataFrame, least: float) -> DataFrame:
-    """``(a, b, cosine)``, a < b: all pairs of distinct rows with cosine >= least."""
-    cells = units.select("row_id", F.explode("cells").alias("cell"), "dims", "ws")
-    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS)
-    large = broadcast_if_small(large.select("cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks")))
-    tagged = cells.join(large, "cell", "left")
-    own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
-    meet = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side")),
-    )
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
-    spread = tagged.select("cell", "row_id", "dims", "ws", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meet)).alias("m"))
-    keyed = spread.select(F.xxhash64("cell", "m.i", "m.j").alias("key"), F.col("m.side").alias("side"), "row_id", "dims", F.transform("ws", lambda w: w.cast("float")).alias("ws"))
-    placed = keyed.repartition(F.col("key")).sortWithinPartitions("key", "side", "row_id")
-    found = map_arrow(placed, _comparer(least), "a bigint, b bigint").distinct()
-    # The exact cosine of what is left, in double; both sides are joined on the row.
-    entries = units.select(F.col("row_id").alias("a"), F.map_from_arrays("dims", "ws").alias("_a"))
-    others = units.select(F.col("row_id").alias("b"), F.col("dims").alias("_d"), F.col("ws").alias("_w"))
-    both = found.join(entries, "a").join(others, "b")
-    terms = F.zip_with("_d", "_w", lambda d, w: F.coalesce(F.try_element_at("_a", d), F.lit(0.0)) * w)
-    cosine = F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)
-    return both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
-
-
-class _Block:
-    """Representatives that hold their k best while others pass by."""
-
-    def __init__(self, row_id: np.ndarray, dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray, common: np.ndarray, k: int):
-        self.row_id, self.common, self.k = row_id, common, k
-        self.dense, self.dims, self.row, self.ws = _split(dims, ws, offsets, common)
-        self.norm = np.linalg.norm(self.dense, axis=1)
-        placed = np.argsort(self.dims, kind="stable")
-        self.dims, self.row, self.ws = self.dims[placed], self.row[placed], self.ws[placed]
-        self.near = np.full((len(row_id), k), np.iinfo(np.int64).max, np.int64)
-        self.cosine = np.full((len(row_id), k), -np.inf)
-
-    def meet(self, row_id: np.ndarray, dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray, norm: np.ndarray | None) -> None:
-        """Rows pass by: first all without ``norm``, to be met by dim, then all in descending order of it."""
-        first = 0
-        pairs = np.zeros(len(dims) + 1, np.int64)
-        np.cumsum(np.searchsorted(self.dims, dims, side="right") - np.searchsorted(self.dims, dims), out=pairs[1:])
-        pairs = pairs[offsets]
-        while first < len(row_id):
-            last = min(first + STEP_ROWS, len(row_id), max(first + 1, int(np.searchsorted(pairs, pairs[first] + STEP_PAIRS, side="right")) - 1))
-            part = slice(offsets[first], offsets[last])
-            rows = row_id[first:last], dims[part], ws[part], offsets[first : last + 1] - offsets[first]
-            if norm is None:
-                self._by_dim(*rows)
-            elif len(active := np.flatnonzero(self.norm * norm[first] >= self.cosine[:, -1] - 1e-9)):
-                self._by_product(active, *rows)
-            first = last
+def _near_by_codes(least: float):
+    """Pairs of a key's rows whose code estimate reaches ``least`` within SIGMAS errors and whose exact cosine does."""
+
+    def compare(rows: Rows) -> pa.RecordBatch | None:
+        packed, correction = rows.packed, rows.column("correction").astype(np.float64)
+        starts = np.flatnonzero(np.concatenate([[True], rows.key[1:] != rows.key[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(rows.key)]]))
+        left, right = [], []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            estimate, error = estimate_by_codes(packed[i], correction[i], packed[j], correction[j])
+            near = estimate + SIGMAS * error >= least - SLACK
+            left.append(i[near])
+            right.append(j[near])
+
+        for size in np.unique(sizes[sizes > 1]):
+            a, b = np.triu_indices(size, 1)
+            step = max(1, 100_000 // len(a))
+            first = starts[sizes == size]
+            for s in range(0, len(first), step):
+                for k in range(0, len(a), 100_000):
+                    i, j = (first[s : s + step, None] + a[k : k + 100_000]).ravel(), (first[s : s + step, None] + b[k : k + 100_000]).ravel()
+                    met = (rows.side[i] == 0) | (rows.side[i] != rows.side[j])
+                    keep(i[met], j[met])
+        if not left or not sum(map(len, left)):
+            return None
+        i, j = np.concatenate(left), np.concatenate(right)
+        found: list[list[np.ndarray]] = [[], [], []]
+        for k in range(0, len(i), 100_000):
+            cosine, _ = _exact(rows.dims, rows.ws, rows.offsets, i[k : k + 100_000], j[k : k + 100_000])
+            ok = cosine >= least
+            a, b = rows.row_id[i[k : k + 100_000][ok]], rows.row_id[j[k : k + 100_000][ok]]
+            for out, x in zip(found, (np.minimum(a, b), np.maximum(a, b), np.round(cosine[ok], 9)), strict=True):
+                out.append(x)
+        return _pairs(*map(np.concatenate, found))
+
+    return compare
+
 
-    def _shared(self, m: int, dims: np.ndarray, row: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Own row * m + the other's, ascending, of pairs that share a dim outside the columns, and what such dims give."""
-        low, high = np.searchsorted(self.dims, dims), np.searchsorted(self.dims, dims, side="right")
-        sizes = high - low
-        entry = np.repeat(np.arange(len(dims)), sizes)
-        at = np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
-        pair, where = np.unique(self.row[at] * m + row[entry], return_inverse=True)
-        return pair, np.bincount(where, self.ws[at] * ws[entry], len(pair))
-
-    def _by_dim(self, row_id: np.ndarray, dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray) -> None:
-        dense, *rest = _split(dims, ws, offsets, self.common)
-        pair, cosine = self._shared(len(row_id), *rest)
-        i, j = pair // len(row_id), pair % len(row_id)
+_PAIRS = "a bigint, b bigint, cosine double"
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cosine + 0.0)], names=["a", "b", "cosine"])
+
+
+def _best(i: np.ndarray, near: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each i, equal cosines by smaller id."""
+    placed = np.lexsort((near, -cosine, i))
+    i = i[placed]
+    return placed[np.arange(len(i)) - np.searchsorted(i, i) < k]
+
+
+def similar_pairs(units: DataFrame, least: float) -> DataFrame:
+    """``(a, b, cosine)``, a < b: all pairs of distinct rows with cosine >= least, the cosine in nine digits."""
+    placed = in_cells(units, "code", "correction", band=lambda n: bands(least, n))
+    return map_arrow(placed, _by_key(_near_by_codes(least)), _PAIRS).dropDuplicates(["a", "b"])
+
+
+# ---- without a least cosine
+
+
+def _near_by_dim(common: np.ndarray, k: int):
+    """Of each row the k nearest in its key, both ways, counting pairs whose smallest shared dim outside ``common`` is the key's cell."""
+    columns = common[:BITS]
+
+    def compare(rows: Rows) -> pa.RecordBatch | None:
+        at = np.minimum(np.searchsorted(columns, rows.dims), max(len(columns) - 1, 0))
+        dense_at = columns[at] == rows.dims if len(columns) else np.zeros(len(rows.dims), bool)
+        dense = np.zeros((len(rows.key), len(columns)))
+        dense[rows.row[dense_at], at[dense_at]] = rows.ws[dense_at]
+        dims, row, ws = rows.dims[~dense_at], rows.row[~dense_at], rows.ws[~dense_at]
+        group = np.cumsum(np.concatenate([[0], rows.key[1:] != rows.key[:-1]]))[row]
+        order = np.lexsort((row, dims, group))
+        dims, row, ws, group = dims[order], row[order], ws[order], group[order]
+        starts = np.flatnonzero(np.concatenate([[True], (dims[1:] != dims[:-1]) | (group[1:] != group[:-1])])) if len(dims) else np.empty(0, np.int64)
+        ends = np.repeat(np.append(starts[1:], len(dims)), np.diff(np.append(starts, len(dims))))
+        later = ends - np.arange(len(dims)) - 1
+        one = np.repeat(np.arange(len(dims)), later)
+        two = np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later) + one + 1
+        i, j = row[one], row[two]
+        met = (rows.side[i] == 0) | (rows.side[i] != rows.side[j])
+        one, two, i, j = one[met], two[met], i[met], j[met]
+        if not len(i):
+            return None
+        pair = i * len(rows.key) + j
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        cosine = np.add.reduceat(ws[one[order]] * ws[two[order]], first)
+        shared = dims[one[order]]
+        least = np.minimum.reduceat(np.where(np.isin(shared, common), np.iinfo(np.int64).max, shared) if len(common) > BITS else shared, first)
+        i, j = i[order[first]], j[order[first]]
+        here = least == rows.cell[i]
+        i, j, cosine = i[here], j[here], cosine[here]
         for s in range(0, len(i), 100_000):
             part = slice(s, s + 100_000)
-            self._offer(i[part], row_id[j[part]], cosine[part] + np.einsum("pc,pc->p", self.dense[i[part]], dense[j[part]]))
-
-    def _by_product(self, active: np.ndarray, row_id: np.ndarray, dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray) -> None:
-        m = len(row_id)
-        dense, *rest = _split(dims, ws, offsets, self.common)
-        columns = np.ascontiguousarray(dense.T)
-        met, _ = self._shared(m, *rest)
-        for s in range(0, len(active), PART_ROWS):
-            own = active[s : s + PART_ROWS]
-            product = self.dense[own] @ columns
-            limit = self.cosine[own, -1:] - 1e-9
-            hit = np.flatnonzero(product >= limit)
-            if len(hit) > 4 * self.k * len(own):
-                # Pairs met by dim and the row itself are none of those that count here.
-                outside = product.copy()
-                known = met[np.isin(met // m, own)]
-                outside[np.searchsorted(own, known // m), known % m] = -np.inf
-                outside[self.row_id[own][:, None] == row_id] = -np.inf
-                if m > self.k:
-                    hit = np.flatnonzero(outside >= np.maximum(limit, np.partition(outside, m - self.k, axis=1)[:, m - self.k, None] - 1e-9))
-            i, j = own[hit // m], hit % m
-            fresh = ~np.isin(i * m + j, met)
-            self._offer(i[fresh], row_id[j[fresh]], product.reshape(-1)[hit[fresh]])
-
-    def _offer(self, i: np.ndarray, near: np.ndarray, cosine: np.ndarray) -> None:
+            cosine[part] += np.einsum("pc,pc->p", dense[i[part]], dense[j[part]])
         cosine = np.round(cosine, 9)
-        worst = self.cosine[i, -1]
-        better = ((cosine > worst) | ((cosine == worst) & (near < self.near[i, -1]))) & (near != self.row_id[i])
-        if better.any():
-            self._take(i[better], near[better], cosine[better])
-
-    def _take(self, i: np.ndarray, near: np.ndarray, cosine: np.ndarray) -> None:
-        rows = np.unique(i)
-        i = np.concatenate([np.repeat(rows, self.k), i])
-        near = np.concatenate([self.near[rows].ravel(), near])
-        cosine = np.concatenate([self.cosine[rows].ravel(), cosine])
-        placed = np.lexsort((near, -cosine, i))
-        i = i[placed]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        kept = rank < self.k
-        placed = placed[kept]
-        self.near[rows] = near[placed].reshape(-1, self.k)
-        self.cosine[rows] = cosine[placed].reshape(-1, self.k)
-
-    def pairs(self) -> pa.RecordBatch:
-        i, at = np.nonzero(self.cosine > -np.inf)
-        columns = self.row_id[i], self.near[i, at], self.cosine[i, at] + 0.0
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "cosine"])
-
-
-def _split(dims: np.ndarray, ws: np.ndarray, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A matrix of the common dims, and the other entries' dims, rows and weights."""
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    dense = np.zeros((n, len(common)))
-    if not len(common):
-        return dense, dims, row, ws
-    at = np.minimum(np.searchsorted(common, dims), len(common) - 1)
-    known = common[at] == dims
-    dense[row[known], at[known]] = ws[known]
-    return dense, dims[~known], row[~known], ws[~known]
-
-
-def _with_norm(common: np.ndarray):
-    """Adds the norm in the common dims."""
+        a, b = np.concatenate([i, j]), np.concatenate([j, i])
+        kept = _best(a, rows.row_id[b], np.tile(cosine, 2), k)
+        return _pairs(rows.row_id[a[kept]], rows.row_id[b[kept]], np.tile(cosine, 2)[kept])
+
+    return compare
+
+
+def _prefixes(common: np.ndarray, bits: int, probes: int):
+    """The code prefixes each row visits, most likely ones first: bits of small rotated coordinates are the ones to flip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, ws = batch.column(1), np.asarray(batch.column(2).flatten())
-            sizes = np.asarray(lists.value_lengths())
-            known = np.isin(np.asarray(lists.flatten()), common)
-            norm = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.where(known, ws, 0.0) ** 2, len(sizes)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm)], names=["row_id", "dims", "ws", "norm"])
+            rows = _dense_codes(batch, common)
+            lead = rows.rotated[:, :bits]
+            base = (lead > 0).astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+            unsure = np.argsort(np.abs(lead), axis=1)[:, : min(bits, 8)]
+            subsets = np.array([[s >> b & 1 for b in range(unsure.shape[1])] for s in range(1 << unsure.shape[1])], np.float64)
+            cost = np.take_along_axis(np.abs(lead), unsure, axis=1) @ subsets.T
+            chosen = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+            flips = (np.int64(1) << unsure.astype(np.int64)) @ subsets.T.astype(np.int64)
+            prefix = base[:, None] ^ np.take_along_axis(flips, chosen, axis=1)
+            offsets = (np.arange(len(batch) + 1) * prefix.shape[1]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, prefix.ravel())], names=[*batch.schema.names, "prefixes"])
 
     return run
 
 
-def _nearest(common: np.ndarray, k: int):
+def _dense_codes(batch: pa.RecordBatch, common: np.ndarray) -> Codes:
+    lists = batch.column(batch.schema.get_field_index("dims"))
+    dims, ws = np.asarray(lists.flatten()), np.asarray(batch.column(batch.schema.get_field_index("ws")).flatten())
+    row = np.repeat(np.arange(len(batch)), np.asarray(lists.value_lengths()))
+    known = np.isin(dims, common)
+    return Codes(dims[known], ws[known], np.searchsorted(row[known], np.arange(len(batch) + 1)), common)
+
+
+def _near_by_prefix(common: np.ndarray, k: int):
+    """Queries (side 0) against the coded rows of a prefix (side 1): estimates and their bounds choose what is compared exactly."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        block: _Block | None = None
-        last = None
+        key, queries = None, None
         for batch in batches:
-            key, side, row_id, norm = (np.asarray(batch.column(i)) for i in (0, 1, 2, 5))
-            lists, lists_w = batch.column(3), batch.column(4)
-            dims, ws = np.asarray(lists.flatten()), np.asarray(lists_w.flatten())
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1])) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            rows = Rows(pa.Table.from_batches([batch]))
+            cuts = np.flatnonzero((rows.key[1:] != rows.key[:-1]) | (rows.side[1:] != rows.side[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows.key)], strict=True):
                 if s == e:
                     continue
-                part = slice(offsets[s], offsets[e])
-                rows = row_id[s:e], dims[part], ws[part], np.diff(offsets[s : e + 1])
-                if key[s] != last:
-                    if block is not None:
-                        yield block.pairs()
-                    block, held, last = None, [], key[s]
-                if side[s] == 0:
-                    held.append(rows)
+                part = batch.slice(s, e - s)
+                if rows.key[s] != key:
+                    key, queries = rows.key[s], []
+                if rows.side[s] == 0:
+                    queries.append((part, _dense_codes(part, common).rotated))
                     continue
-                if block is None:
-                    # A block without rows of its own has nobody to compare.
-                    if not held:
-                        continue
-                    ids, d, w, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-                    block, held = _Block(ids, d, w, np.concatenate([[0], np.cumsum(sizes)]), common, k), []
-                block.meet(*rows[:3], np.concatenate([[0], np.cumsum(rows[3])]), norm[s:e] if side[s] == 2 else None)
-        if block is not None:
-            yield block.pairs()
+                coded = pa.Table.from_batches([part])
+                for asking, rotated in queries:
+                    if (out := _look(asking, rotated, coded, common, k)) is not None:
+                        yield out
 
     return run
 
 
-def _keys(spark: SparkSession, n: int) -> list[int]:
-    """n numbers that repartition(n, number) sends to n different partitions."""
-    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
-    most = 64
-    while True:
-        found = {r["p"]: r["id"] for r in spark.range(most * n).groupBy(place.alias("p")).agg(F.min("id").alias("id")).collect()}
-        if len(found) == n:
-            return [found[p] for p in range(n)]
-        most *= 2
-
-
-def nearest_pairs(units: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
+def _look(asking: pa.RecordBatch, rotated: np.ndarray, coded: pa.Table, common: np.ndarray, k: int) -> pa.RecordBatch | None:
+    both = Rows(pa.concat_tables([pa.Table.from_batches([asking]), coded]))
+    n = len(asking)
+    packed, correction, norms = both.packed[n:], both.column("correction")[n:], both.column("norm")[n:]
+    floor = both.column("floor")[:n]
+    found_i, found_j = [], []
+    for s in range(0, n, 512):
+        estimate, error = estimate_by_vectors(rotated[s : s + 512], packed, correction, norms)
+        estimate[both.row_id[s : min(s + 512, n), None] == both.row_id[None, n:]] = -np.inf
+        limit = floor[s : s + 512]
+        if estimate.shape[1] > k:
+            limit = np.maximum(limit, np.partition(estimate - SIGMAS * error, -k, axis=1)[:, -k])
+        i, j = np.nonzero(estimate + SIGMAS * error >= limit[:, None] - 1e-9)
+        some = np.isfinite(estimate[i, j])
+        found_i.append(i[some] + s)
+        found_j.append(j[some] + n)
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    marked = ~np.isin(both.dims, common)
+    cosine, met = np.empty(len(i)), np.empty(len(i), bool)
+    for s in range(0, len(i), 100_000):
+        part = slice(s, s + 100_000)
+        cosine[part], met[part] = _exact(both.dims, both.ws, both.offsets, i[part], j[part], marked)
+    cosine = np.round(cosine, 9)
+    # Pairs that share a rarer dim have met by that.
+    ok = ~met & (cosine >= floor[i])
+    i, j, cosine = i[ok], j[ok], cosine[ok]
+    kept = _best(i, both.row_id[j], cosine, k)
+    return _pairs(both.row_id[i[kept]], both.row_id[j[kept]], cosine[kept]) if len(kept) else None
+
+
+def _top(pairs: DataFrame, k: int) -> DataFrame:
+    """Of each ``a`` the k best; the rank filter is a group limit below the shuffle."""
+    w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def nearest_pairs(units: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int, probes: int | None = None) -> DataFrame:
     """``(a, b, cosine)``: of every row its k nearest others whatever the cosine (nine digits), equal ones by smaller row_id.
 
-    Each block of rows meets all rows in one task, so the rows are sent twice for each block.
+    Exact for neighbours that share a dim which at most CELL_ROWS vectors hold; others are found as far as their code prefix is among the
+    ``probes`` (PROBES) that a row visits.
     """
-    n = units.count()
-    cores = units.sparkSession.sparkContext.defaultParallelism
-    blocks = max(-(-n // BLOCK_ROWS), min(cores, -(-n // (2 * STEP_ROWS))), 1)
-    blocks = -(-blocks // cores) * cores if blocks > cores else blocks
     listed, counts = order
-    top = np.argsort(-counts, kind="stable")[:COLUMNS]
-    common = np.sort(listed[top[counts[top] * COLUMNS >= n]])
-    keys = F.array(*[F.lit(x).cast("int") for x in _keys(units.sparkSession, blocks)])
-    own = F.element_at(keys, F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int") + 1)
-    normed = map_arrow(units.select("row_id", "dims", "ws"), _with_norm(common), "row_id bigint, dims array<bigint>, ws array<double>, norm double")
-    sides = F.array(F.lit(1), F.lit(2))
-    queries = normed.select(own.alias("key"), F.lit(0).alias("side"), "row_id", "dims", "ws", "norm")
-    passing = normed.select(F.explode(keys).alias("key"), "row_id", "dims", "ws", "norm").select("key", F.explode(sides).alias("side"), "row_id", "dims", "ws", "norm")
-    placed = queries.unionByName(passing).repartition(blocks, "key").sortWithinPartitions("key", "side", F.desc("norm"), "row_id")
-    return map_arrow(placed, _nearest(common, k), "a bigint, b bigint, cosine double")
+    common = listed[counts > CELL_ROWS]
+    by_dim = checkpoint(_top(map_arrow(in_cells(units), _by_key(_near_by_dim(common, k)), _PAIRS), k))
+    lists = by_dim.groupBy(F.col("a").alias("_a")).agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("floor"))
+    rows = units.select("row_id", "dims", "ws", "code", "correction", "norm").join(lists, F.col("row_id") == F.col("_a"), "left").drop("_a")
+    rows = checkpoint(rows.withColumn("floor", F.coalesce("floor", F.lit(-1.0))))
+    found = by_dim
+    if len(common) and (by_code := _by_code(rows, common, k, probes or PROBES)) is not None:
+        found = found.unionByName(by_code)
+    return _filled(rows, checkpoint(_top(found, k)), k)
+
+
+def _by_code(rows: DataFrame, common: np.ndarray, k: int, probes: int) -> DataFrame | None:
+    """Step (2): rows in question against the rows that may still enter a list."""
+    largest = rows.agg(F.max("norm").alias("m")).first()["m"] or 0.0
+    asking = rows.where((F.col("norm") > 0) & (F.col("norm") * largest >= F.col("floor") - SLACK))
+    least = asking.agg(F.min(F.greatest("floor", F.lit(0.0)) / F.col("norm")).alias("m")).first()["m"]
+    if least is None:
+        return None
+    admitted = rows.where((F.col("norm") > 0) & (F.col("norm") >= least - SLACK))
+    bits = min(62, max(0, math.ceil(math.log2(max(admitted.count(), 1) / CELL_ROWS))))
+    known = f"{_schema(rows)}, prefixes array<bigint>"
+    visits = map_arrow(asking, _prefixes(common, bits, probes), known).withColumn("cell", F.explode("prefixes"))
+    homes = map_arrow(admitted, _prefixes(common, bits, 1), known).withColumn("cell", F.explode("prefixes"))
+    # A prefix's queries are cut into blocks, each of which meets its rows in a task of its own.
+    blocks = visits.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
+    blocks = broadcast_if_small(blocks)
+    tail = ["cell", "row_id", "dims", "ws", "code", "correction", "norm", "floor"]
+    left = visits.join(blocks, F.col("cell") == F.col("_cell")).select(F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), *tail)
+    right = homes.join(blocks, F.col("cell") == F.col("_cell")).select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), *tail)
+    keyed = left.unionByName(right).select(F.xxhash64("cell", "block").alias("key"), "side", *tail)
+    placed = keyed.repartition(F.col("key")).sortWithinPartitions("key", "side", "row_id")
+    return map_arrow(placed, _near_by_prefix(common, k), _PAIRS)
+
+
+def _filled(rows: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """Rows with less than k neighbours above 0 also meet the FILL_ROWS rows with the smallest ids, with which they may share nothing."""
+    full = lists.where(F.col("cosine") > 0).groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
+    short = rows.select("row_id", "dims", "ws").join(full, F.col("row_id") == F.col("_a"), "left_anti")
+    first = rows.orderBy("row_id").limit(FILL_ROWS).select(F.col("row_id").alias("b"), F.map_from_arrays("dims", "ws").alias("_b"))
+    both = short.join(F.broadcast(first), F.col("row_id") != F.col("b"))
+    terms = F.zip_with("dims", "ws", lambda d, w: F.coalesce(F.try_element_at("_b", d), F.lit(0.0)) * w)
+    cosine = F.round(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y), 9)
+    fresh = both.select(F.col("row_id").alias("a"), "b", cosine.alias("cosine")).join(lists.select("a", "b"), ["a", "b"], "left_anti")
+    return _top(lists.unionByName(fresh.select("a", "b", "cosine")), k)
 
 
 def similar_vectors(live: DataFrame, k: int = 10, least: float | None = 0.8, log: DataFrame | None = None) -> DataFrame:
     """``(row_id, neighbour, cosine, rank)``: of every live vector the k most similar others with cosine >= least, equal ones by smaller row_id.
 
-    If ``least`` is None the k most similar others come out whatever their cosine, also 0 or below: k of them for every vector with a value,
-    if there are so many others.
+    If ``least`` is None the k most similar others come out whatever their cosine, also 0 or below, for every vector with a value.
     ``live(row_id, indices, vals)`` has one row per row_id; ``log`` may be any table of such vectors to count dims in, by default the
     live ones. Null rows and vectors without values have no neighbours. Cosines are rounded to nine digits before ranking, so that copies tie.
     """
     order = common_dims(explode_vectors(live if log is None else log, "row_id"))
-    # No prefix of a unit vector is needed (its rest never reaches 2) where all are compared.
-    units = with_classes(checkpoint(with_content(unit_vectors(live, order, 2.0 if least is None else least))))
+    units = with_classes(checkpoint(with_content(unit_vectors(live, order, least))))
     first = units.where(F.col("class_id") == F.col("row_id"))
     if least is None:
         # Kept, as the lists are read twice below.
         directed = checkpoint(nearest_pairs(first, order, k + 1))
     else:
-        pairs = similar_pairs(first, least).select("a", "b", F.round("cosine", 9).alias("cosine"))
+        pairs = similar_pairs(first, least)
         directed = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     copied = units.where("copies").select("row_id", "class_id")
     own = first.where("copies").select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(1.0).alias("cosine"))
