@@ -1,8 +1,8 @@
 """The k most similar vectors of every sparse vector by cosine: from a least similarity on, or without one.
 
-Every vector is coded once: each dim has a random place among ``BITS`` coordinates, the vector is rotated at random there and kept as one
+Every vector is coded once: each dim has random places among ``BITS`` coordinates, the vector is rotated at random there and kept as one
 bit per coordinate plus the correction scalar <code, vector>. Inner products are estimated from packed bits and correction scalars; a pair is
-reranked by its exact cosine where the estimate plus ``SIGMAS`` standard errors leaves it a place in the result.
+reranked by its exact cosine where the estimate plus some standard errors (``SIGMAS``, ``LIST_SIGMAS``) leaves it a place in the result.
 
 With a least similarity t (``similar_pairs``). Dims are put in one global order, rare ones first. Of a unit vector the leading dims up to
 where the rest has a norm below t form its prefix. Two vectors with cosine >= t share a dim of both prefixes (otherwise all they share lies
@@ -36,8 +36,11 @@ from sparsemill.session import broadcast_if_small, checkpoint, map_arrow
 
 BITS = 256
 SEED = 20_240_607
-#: Standard errors that an estimate may fall short before a pair is left out.
+#: Coordinates among which a dim without one of its own is spread.
+PLACES = 16
+#: Standard errors that an estimate may fall short before a pair is left out: with a least cosine, and in lists.
 SIGMAS = 5.0
+LIST_SIGMAS = 3.0
 #: Entries of vectors that are rotated at once.
 ENTRIES = 20_000
 #: Rows of a cell (or of both blocks that meet) that one step compares.
@@ -46,7 +49,7 @@ CELL_ROWS = 1024
 GIANT_ROWS = 65_536
 BAND_RECALL = 0.999
 #: Code prefixes that a query visits, and queries that one task compares with a prefix's rows.
-PROBES = 16
+PROBES = 8
 QUERY_ROWS = 4096
 #: Rows that short lists are filled from.
 FILL_ROWS = 64
@@ -142,7 +145,7 @@ def with_classes(keyed: DataFrame) -> DataFrame:
 
 class Codes:
     """One-bit codes of sparse vectors. Dims in ``columns`` (at most BITS of them) have a coordinate of their own, so that nothing but the
-    bits blurs the estimates; without columns, or with more of them, each dim is spread over all coordinates by random signs.
+    bits blurs the estimates; without columns, or with more of them, each dim is spread over PLACES coordinates by random signs.
     """
 
     def __init__(self, dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray, columns: np.ndarray | None = None):
@@ -158,9 +161,9 @@ class Codes:
             if self.own:
                 placed[row, np.searchsorted(columns, dims[part])] = weights[part]
             elif len(row):
-                moved = _directions(dims[part]) * weights[part].astype(np.float32)[:, None]
-                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                placed[row[starts]] = np.add.reduceat(moved, starts, axis=0) / np.float32(np.sqrt(BITS))
+                at, sign = _places(dims[part])
+                moved = sign * (weights[part] / np.sqrt(PLACES))[:, None]
+                placed[:] = np.bincount((row[:, None] * BITS + at).ravel(), moved.ravel(), placed.size).reshape(placed.shape)
             self.rotated[first:last] = placed @ _rotation()
             first = last
         self.norms = np.maximum(np.linalg.norm(self.rotated, axis=1), 1e-12)
@@ -204,14 +207,15 @@ def _rotation() -> np.ndarray:
     return _ROTATION[0]
 
 
-def _directions(dims: np.ndarray) -> np.ndarray:
-    """BITS signs for each dim, the same everywhere: where the dim lies before the rotation."""
-    x = dims.astype(np.uint64)[:, None] * np.uint64(BITS) + np.arange(BITS // 64, dtype=np.uint64)[None, :] + np.uint64(SEED)
+def _places(dims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """PLACES coordinates of each dim, one in each equal part of them, and a sign for each, the same everywhere."""
+    x = dims.astype(np.uint64)[:, None] * np.uint64(PLACES) + np.arange(PLACES, dtype=np.uint64)[None, :] + np.uint64(SEED)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
     x ^= x >> np.uint64(31)
-    bits = np.unpackbits(x.view(np.uint8).reshape(len(dims), BITS // 8), axis=1)
-    return bits.astype(np.float32) * 2 - 1
+    width = BITS // PLACES
+    at = (x >> np.uint64(1)) % np.uint64(width) + np.arange(PLACES, dtype=np.uint64) * np.uint64(width)
+    return at.astype(np.int64), (x & np.uint64(1)).astype(np.float64) * 2 - 1
 
 
 def _exact(dims: np.ndarray, weights: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -406,16 +410,24 @@ def similar_pairs(units: DataFrame, least: float) -> DataFrame:
 # ---- without a least cosine
 
 
+def _split(dims: np.ndarray, ws: np.ndarray, row: np.ndarray, n: int, columns: np.ndarray) -> np.ndarray:
+    """A matrix of the entries in ``columns``, by row."""
+    dense = np.zeros((n, len(columns)))
+    if len(columns):
+        at = np.minimum(np.searchsorted(columns, dims), len(columns) - 1)
+        known = columns[at] == dims
+        dense[row[known], at[known]] = ws[known]
+    return dense
+
+
 def _near_by_dim(common: np.ndarray, k: int):
     """Of each row the k nearest in its key, both ways, counting pairs whose smallest shared dim outside ``common`` is the key's cell."""
     columns = common[:BITS]
 
     def compare(rows: Rows) -> pa.RecordBatch | None:
-        at = np.minimum(np.searchsorted(columns, rows.dims), max(len(columns) - 1, 0))
-        dense_at = columns[at] == rows.dims if len(columns) else np.zeros(len(rows.dims), bool)
-        dense = np.zeros((len(rows.key), len(columns)))
-        dense[rows.row[dense_at], at[dense_at]] = rows.ws[dense_at]
-        dims, row, ws = rows.dims[~dense_at], rows.row[~dense_at], rows.ws[~dense_at]
+        dense = _split(rows.dims, rows.ws, rows.row, len(rows.key), columns)
+        sparse = ~np.isin(rows.dims, columns)
+        dims, row, ws = rows.dims[sparse], rows.row[sparse], rows.ws[sparse]
         group = np.cumsum(np.concatenate([[0], rows.key[1:] != rows.key[:-1]]))[row]
         order = np.lexsort((row, dims, group))
         dims, row, ws, group = dims[order], row[order], ws[order], group[order]
@@ -508,25 +520,34 @@ def _look(asking: pa.RecordBatch, rotated: np.ndarray, coded: pa.Table, common:
     n = len(asking)
     packed, correction, norms = both.packed[n:], both.column("correction")[n:], both.column("norm")[n:]
     floor = both.column("floor")[:n]
-    found_i, found_j = [], []
+    dense, (one, two) = None, (None, None)
+    if len(common) <= BITS:
+        dense = _split(both.dims, both.ws, both.row, len(both.key), common)
+        one, two = dense[:n], dense[n:]
+    found: list[list[np.ndarray]] = [[], [], []]
     for s in range(0, n, 512):
         estimate, error = estimate_by_vectors(rotated[s : s + 512], packed, correction, norms)
         estimate[both.row_id[s : min(s + 512, n), None] == both.row_id[None, n:]] = -np.inf
         limit = floor[s : s + 512]
         if estimate.shape[1] > k:
-            limit = np.maximum(limit, np.partition(estimate - SIGMAS * error, -k, axis=1)[:, -k])
-        i, j = np.nonzero(estimate + SIGMAS * error >= limit[:, None] - 1e-9)
+            limit = np.maximum(limit, np.partition(estimate - LIST_SIGMAS * error, -k, axis=1)[:, -k])
+        i, j = np.nonzero(estimate + LIST_SIGMAS * error >= limit[:, None] - 1e-9)
         some = np.isfinite(estimate[i, j])
-        found_i.append(i[some] + s)
-        found_j.append(j[some] + n)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    marked = ~np.isin(both.dims, common)
-    cosine, met = np.empty(len(i)), np.empty(len(i), bool)
-    for s in range(0, len(i), 100_000):
-        part = slice(s, s + 100_000)
-        cosine[part], met[part] = _exact(both.dims, both.ws, both.offsets, i[part], j[part], marked)
+        i, j = i[some] + s, j[some]
+        for p in range(0, len(i), 100_000):
+            part = slice(p, p + 100_000)
+            near = _exact(both.dims, both.ws, both.offsets, i[part], j[part] + n)[0] if dense is None else np.einsum("pc,pc->p", one[i[part]], two[j[part]])
+            ok = near >= floor[i[part]] - 1e-9
+            for out, x in zip(found, (i[part][ok], j[part][ok] + n, near[ok]), strict=True):
+                out.append(x)
+    if not found[0]:
+        return None
+    i, j, near = map(np.concatenate, found)
+    # Pairs that share a rarer dim have met by that, and may crowd out a few others here.
+    kept = _best(i, both.row_id[j], near, 4 * k)
+    i, j = i[kept], j[kept]
+    cosine, met = _exact(both.dims, both.ws, both.offsets, i, j, ~np.isin(both.dims, common))
     cosine = np.round(cosine, 9)
-    # Pairs that share a rarer dim have met by that.
     ok = ~met & (cosine >= floor[i])
     i, j, cosine = i[ok], j[ok], cosine[ok]
     kept = _best(i, both.row_id[j], cosine, k)
@@ -540,7 +561,8 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_pairs(units: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int, probes: int | None = None) -> DataFrame:
-    """``(a, b, cosine)``: of every row its k nearest others whatever the cosine (nine digits), equal ones by smaller row_id.
+    """``(a, b, cosine)``, each pair once: of every row its k nearest others whatever the cosine (nine digits), equal ones by smaller row_id,
+    among at most 2 k + FILL_ROWS.
 
     Exact for neighbours that share a dim which at most CELL_ROWS vectors hold; others are found as far as their code prefix is among the
     ``probes`` (PROBES) that a row visits.
@@ -551,10 +573,10 @@ def nearest_pairs(units: DataFrame, order: tuple[np.ndarray, np.ndarray], k: int
     lists = by_dim.groupBy(F.col("a").alias("_a")).agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("floor"))
     rows = units.select("row_id", "dims", "ws", "code", "correction", "norm").join(lists, F.col("row_id") == F.col("_a"), "left").drop("_a")
     rows = checkpoint(rows.withColumn("floor", F.coalesce("floor", F.lit(-1.0))))
-    found = by_dim
+    lists = by_dim
     if len(common) and (by_code := _by_code(rows, common, k, probes or PROBES)) is not None:
-        found = found.unionByName(by_code)
-    return _filled(rows, checkpoint(_top(found, k)), k)
+        lists = lists.unionByName(checkpoint(_top(by_code, k)))
+    return lists.unionByName(_fill(rows, lists, k))
 
 
 def _by_code(rows: DataFrame, common: np.ndarray, k: int, probes: int) -> DataFrame | None:
@@ -580,8 +602,8 @@ def _by_code(rows: DataFrame, common: np.ndarray, k: int, probes: int) -> DataFr
     return map_arrow(placed, _near_by_prefix(common, k), _PAIRS)
 
 
-def _filled(rows: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Rows with less than k neighbours above 0 also meet the FILL_ROWS rows with the smallest ids, with which they may share nothing."""
+def _fill(rows: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """Pairs for rows with less than k neighbours above 0: they meet the FILL_ROWS rows with the smallest ids, with which they may share nothing."""
     full = lists.where(F.col("cosine") > 0).groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
     short = rows.select("row_id", "dims", "ws").join(full, F.col("row_id") == F.col("_a"), "left_anti")
     first = rows.orderBy("row_id").limit(FILL_ROWS).select(F.col("row_id").alias("b"), F.map_from_arrays("dims", "ws").alias("_b"))
@@ -589,7 +611,7 @@ def _filled(rows: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     terms = F.zip_with("dims", "ws", lambda d, w: F.coalesce(F.try_element_at("_b", d), F.lit(0.0)) * w)
     cosine = F.round(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y), 9)
     fresh = both.select(F.col("row_id").alias("a"), "b", cosine.alias("cosine")).join(lists.select("a", "b"), ["a", "b"], "left_anti")
-    return _top(lists.unionByName(fresh.select("a", "b", "cosine")), k)
+    return fresh.select("a", "b", "cosine")
 
 
 def similar_vectors(live: DataFrame, k: int = 10, least: float | None = 0.8, log: DataFrame | None = None) -> DataFrame:
@@ -603,10 +625,10 @@ def similar_vectors(live: DataFrame, k: int = 10, least: float | None = 0.8, log
     units = with_classes(checkpoint(with_content(unit_vectors(live, order, least))))
     first = units.where(F.col("class_id") == F.col("row_id"))
     if least is None:
-        # Kept, as the lists are read twice below.
-        directed = checkpoint(nearest_pairs(first, order, k + 1))
+        directed = nearest_pairs(first, order, k + 1)
     else:
-        pairs = similar_pairs(first, least)
+        # Kept, as they are read in both directions.
+        pairs = checkpoint(similar_pairs(first, least))
         directed = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     copied = units.where("copies").select("row_id", "class_id")
     own = first.where("copies").select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(1.0).alias("cosine"))
@@ -616,10 +638,11 @@ def similar_vectors(live: DataFrame, k: int = 10, least: float | None = 0.8, log
     members = shown.groupBy(F.col("class_id").alias("b")).agg(F.collect_list("row_id").alias("_members"))
     near = both.join(members, "b", "left").select("a", "cosine", F.explode(F.coalesce("_members", F.array("b"))).alias("neighbour"))
     # A class's list of k + 1 rows serves each of its members, which leaves itself out.
-    top = Window.partitionBy("a").orderBy(F.desc("cosine"), F.col("neighbour"))
-    best = near.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1)
+    if least is not None:
+        top = Window.partitionBy("a").orderBy(F.desc("cosine"), F.col("neighbour"))
+        near = near.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1)
     entry = F.struct((-F.col("cosine")).alias("c"), F.col("neighbour").alias("neighbour"))
-    lists = best.groupBy("a").agg(F.array_sort(F.collect_list(entry)).alias("_list"))
+    lists = checkpoint(near.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("_list")))
     rest = copied.where(F.col("class_id") != F.col("row_id"))
     every = lists.select(F.col("a").alias("row_id"), "_list").unionByName(rest.join(lists, F.col("class_id") == F.col("a")).select("row_id", "_list"))
     others = F.slice(F.filter("_list", lambda e: e["neighbour"] != F.col("row_id")), 1, max(k, 1))
