@@ -1,11 +1,13 @@
 """Score of every page for abusive, hateful and sexually explicit language, and the rate of every source.
 
 Words are looked up in a lexicon that is kept as a trie; what is not in it literally is matched by running the word's Levenshtein automaton
-(one error from six letters on, two from nine) along the trie, so a misread, misspelled or partly masked term is found without
-comparing it with every entry; shorter words, of which most are one letter from an ordinary one, must agree up to letters that scanners
-take for each other. Terms then count by context: expressions need their words in order within a span, an insult needs an
-abusive adjective or an address before it, a body term an act beside it; the evidence of a window of words adds up, and words of animals,
-goods, plants and reports take off what single terms have added (not what expressions have). A page's score is that of its best window; from ``FOUND`` on it is a case.
+(one error from six letters on, two from nine) along the trie, so a misread, misspelled or partly masked term is found without comparing it
+with every entry; shorter words, of which most are one letter from an ordinary one, must agree up to letters that scanners take for each
+other. A word alone is no evidence: the classes of words that make a sentence offensive have to come together in a window, such as an insult
+with an address or a word of contempt, a violent act with its object, a people with "are" and what is not human, a demand with what is
+to be done to them, a part of the body with what is done to it. Evidence of a window adds up; words of animals, goods and plants close by
+take off what is not certain. Evidence inside quotation marks, or after a word of speech or of the courts, counts as quoted and less
+than the same words addressed. A page's score is that of its best window; from ``FOUND`` on it is a case.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from sparsemill.session import map_arrow, spread_small
 
 #: Score from which a page is a case.
 FOUND = 0.6
-#: Words that an expression may span (advertisements may stand inside), and words of a context window.
-SPAN, WINDOW = 26, 40
+#: Words of a context window.
+WINDOW = 40
 #: Entries of a worker's memory of looked-up words; when full it starts anew.
 CACHE_ENTRIES = 400_000
 
@@ -124,32 +126,95 @@ class Trie:
         return sorted(w for w in self.words if fits.fullmatch(w))
 
 
-def _parts(lines: Sequence[str]) -> list[tuple[str, ...]]:
-    return [tuple(x.split()) for x in lines]
+#: Words of the grammar around the lexicon's, compared literally.
+_YOU = frozenset("you your yourself yourselves ye thou thee thy thine du dich dir dein deine deinen deinem deiner ihr euch euer tu te toi ton ta tes vous votre vos".split())
+_POINT = frozenset("you ye thou du tu ihr vous such that this what espèce toi bloody du sie dieser diese dieses".split())
+_WISH = frozenset("hope may go let wish should ought shall will can va allez soll sollst geh fahr que puisses could to donc doch".split())
+_SELF = frozenset("i we ich wir je nous somebody someone man on".split())
+_WILL = frozenset("will shall ll would should ought going must deserve deserves werde werden will sollte soll sollten vais va dir te want".split())
+_MUST = frozenset("""must should ought shall deserve deserves need needs let had better cure remedy fit wants worth be sollte sollten soll sollen muss müssen muß
+ gehören gehört verdienen man lasst laßt il faut doit doivent qu on devrait devraient méritent mérite faudrait""".split())
+_THEM = frozenset("""they them their theirs these those who whom all every everyone each none such themselves people peoples race races tribe tribes breed folk kind sort lot
+ foreigners immigrants strangers sie ihnen ihre ihr diese dieser dieses diesen alle allen jeder volk völker rasse sippe sippschaft fremden ausländer ils elles eux les leur leurs ces cette ceux
+ gens peuple peuples race races tous étrangers""".split())
+_PLURAL = frozenset("they them their theirs sie ihnen ihre ils elles les leur leurs eux".split())
+_ALL = frozenset("all every both lot alle sie allesamt sämtliche les tous toutes".split())
+_FORBIDDEN = frozenset("forbid forbidden prevented stopped verboten untersagt interdit interdire empêcher".split())
+_THE = frozenset("the these those all every any of no for to die der den diese alle les ces ce des aux tous".split())
+_IS = frozenset("are is be was were been than like nothing mere sind ist seid sein wie nichts sont est être comme".split())
+_LIKE = frozenset("like as wie comme".split())
+#: Where people are driven to or from.
+_PLACES = frozenset("""beds borders country county district fire flames gas homes hole house houses kingdom land parish pit river sea swamp town village
+ gas grenze häuser haus land lande meer wasser bois eau feu frontière maisons mer pays rivière""".split())
+_WHOLE = frozenset("whole entire ganze gesamte toute entière".split())
+_HIS = frozenset("her his ihre ihren ihr seine ses sa son".split())
+_SHOW = frozenset("let see saw show showed shown sehen sah zeigte voir vit montra".split())
+_THIS = frozenset("this these those such dieses diese dieser diesem diesen ces cette ce cet".split())
+_SPEECH = frozenset("""called calling said saying alleged complained used using language words expression expressions witness defendant complainant plaintiff
+ summons summoned charged court bench magistrate magistrates reported stated quoted wrote shouted swore insult insulted slander libel
+ sagte nannte rief schrieb beschimpft beleidigt beleidigung klage kläger angeklagte gericht zeuge ausdruck worte
+ dit traité traita appelé cria écrivit injures insultes tribunal témoin plainte prévenu propos""".split())
+_SPOKEN = re.compile(r"[“”„«»\"]")
+
+#: Words between the parts of a sentence, in which a line of an advertisement may stand; words that belong together; of quotations.
+FAR, NEAR, QUOTE = 16, 4, 10
+#: Share of its weight that quoted evidence keeps.
+QUOTED = 0.7
+#: Classes of the lexicon by name.
+_CLASSES = {
+    name: getattr(L, name)
+    for name in (
+        "INSULTS", "FIGURES", "CONTEMPT", "VIOLENCE", "TARGETS", "KILLING", "CURSES", "SILENCE", "MOUTH", "DEHUMANIZING", "HARM", "REMOVAL", "INFERIOR", "RACE", "NOTHING", "LIVING",
+        "WORTH", "BODY", "FLESH", "ACTS", "AROUSAL", "NAKED", "SPREAD", "LEGS", "BED", "SPENT", "EXPLICIT", "SLURS", "PLAIN",
+    )
+}
+#: What starts a search for the rest of a pattern; other classes are looked at only beside these.
+_ANCHORS = ("INSULTS", "FIGURES", "VIOLENCE", "KILLING", "CURSES", "SILENCE", "DEHUMANIZING", "HARM", "REMOVAL", "INFERIOR", "RACE", "NOTHING", "LIVING", "BODY", "FLESH", "AROUSAL", "SPREAD", "SPENT", "EXPLICIT", "SLURS")
+
+
+class _Places:
+    """Sorted places of each class on a page, and of the words around them."""
+
+    def __init__(self, tokens: Sequence[str], by_class: dict[str, list[int]]):
+        self.tokens, self.lower = tokens, [t.lower() for t in tokens]
+        self.by_class = by_class
+
+    def any(self, name: str, low: int, high: int, besides: int = -1) -> bool:
+        places = self.by_class.get(name, ())
+        j = bisect_left(places, low)
+        while j < len(places) and places[j] <= high:
+            if places[j] != besides:
+                return True
+            j += 1
+        return False
+
+    def word(self, words: frozenset[str], low: int, high: int) -> int:
+        """The last place of one of the words in [low, high], or -1."""
+        for i in range(min(high, len(self.lower) - 1), max(low, 0) - 1, -1):
+            if self.lower[i] in words:
+                return i
+        return -1
+
+    def people(self, low: int, high: int) -> bool:
+        """A word for a people, or a capitalised word after "the" or its like."""
+        for i in range(max(low, 0), min(high, len(self.lower) - 1) + 1):
+            if self.lower[i] in _THEM or (i and self.lower[i - 1] in _THE and len(self.tokens[i]) > 3 and self.tokens[i][0].isupper()):
+                return True
+        return False
 
 
 class Scorer:
     """Finds evidence in the words of a page."""
 
     def __init__(self) -> None:
-        strong = [("abuse", 1.0, p) for p in _parts(L.THREATS)] + [("hate", 1.0, p) for p in _parts(L.HARM)]
-        strong += [("sexual", 1.0, p) for p in _parts(L.EXPLICIT)]
-        weak = [("hate", 0.6, p) for p in _parts(L.DEHUMANIZING)] + [("sexual", 0.6, p) for p in _parts(L.SUGGESTIVE)]
-        self._expressions = [x for x in strong + weak if len(x[2]) > 0]
-        self._nouns, self._adjectives = set(L.INSULT_NOUNS), {w for w in L.INSULT_ADJECTIVES if "-" not in w}
-        self._body, self._acts, self._innocent, self._directed = set(L.BODY), set(L.ACTS), set(L.INNOCENT), set(L.DIRECTED)
-        words = {w for _, _, p in self._expressions for w in p} | self._nouns | self._adjectives | self._body | self._acts | self._innocent | self._directed
-        self._trie = Trie(sorted(words))
-        self._by_word: dict[str, list[int]] = {}
-        for i, (_, _, p) in enumerate(self._expressions):
-            self._by_word.setdefault(min(p, key=self._commonness), []).append(i)
+        self._classes: dict[str, tuple[str, ...]] = {}
+        for name, words in _CLASSES.items():
+            for w in words:
+                if "-" not in w:
+                    self._classes[w] = (*self._classes.get(w, ()), name)
+        self._trie = Trie(sorted(self._classes))
         self._memory: dict[str, tuple[str, ...]] = {}
 
-    @staticmethod
-    def _commonness(word: str) -> int:
-        """Short words are common; an expression is looked for where its longest word stands."""
-        return -len(word)
-
     def lookup(self, token: str) -> tuple[str, ...]:
         """Lexicon words that the token may stand for."""
         found = self._memory.get(token)
@@ -181,81 +246,170 @@ class Scorer:
         """``(place, kind, weight, what)`` of all evidence in the order of the text."""
         for sign, letters in _SIGNS.items():
             text = text.replace(sign, letters)
-        lower = text.lower()
-        tokens = _TOKENS.findall(_SPACED.sub(lambda m: m[0].replace(" ", ""), lower))
-        places: dict[str, list[int]] = {}
+        joined = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+        tokens = _TOKENS.findall(joined)
+        by_class: dict[str, list[int]] = {}
+        words: dict[int, str] = {}
         for i, t in enumerate(tokens):
-            for w in self.lookup(t):
-                places.setdefault(w, []).append(i)
-        out: list[tuple[int, str, float, str]] = []
-        for rarest in places.keys() & self._by_word.keys():
-            for k in self._by_word[rarest]:
-                kind, weight, words = self._expressions[k]
-                if all(w in places for w in words):
-                    out.extend((at, kind, weight, " ".join(words)) for at in self._ordered(places, words))
-        nouns = [(i, w) for w in places.keys() & self._nouns for i in places[w]]
-        if nouns:
-            adjectives = sorted(i for w in places.keys() & self._adjectives for i in places[w])
-            directed = sorted(i for w in places.keys() & self._directed for i in places[w])
-            for i, w in nouns:
-                if _within(adjectives, i - 3, i - 1) or _within(directed, i - 2, i - 1):
-                    out.append((i, "abuse", 1.0, w))
-        body = [(i, w) for w in places.keys() & self._body for i in places[w]]
-        if body:
-            acts = sorted(i for w in places.keys() & self._acts for i in places[w])
-            out.extend((i, "sexual", 0.6, w) for i, w in body)
-            out.extend((i, "sexual", 0.6, "act") for i, _ in body if _within(acts, i - 14, i + 14))
-        out.extend((i, "innocent", -0.6, w) for w in places.keys() & self._innocent for i in places[w] if out)
+            for w in self.lookup(t.lower()):
+                words.setdefault(i, w)
+                for name in self._classes[w]:
+                    if name in ("EXPLICIT", "SLURS") and not _MASK.search(t) and fold(t) != fold(w):
+                        # What decides alone has to be the word itself.
+                        continue
+                    at = by_class.setdefault(name, [])
+                    if not at or at[-1] != i:
+                        at.append(i)
+        if not any(name in by_class for name in _ANCHORS):
+            return []
+        p = _Places(tokens, by_class)
+        found = [(i, kind, weight, f"{kind} {words.get(i, '')}") for i, kind, weight in [*self._abuse(p), *self._hate(p), *self._sexual(p)]]
+        if not found:
+            return []
+        quoted = _quoted(joined, len(tokens))
+        out = []
+        for i, kind, weight, what in found:
+            if weight < 1.0 and p.any("PLAIN", i - 10, i + 10):
+                weight -= 0.6
+            if quoted is not None and quoted[i] and p.word(_SPEECH, i - QUOTE - 12, i + QUOTE) >= 0:
+                weight, what = weight * QUOTED, f"quoted {what}"
+            elif p.word(_REPORT, i - QUOTE, i - 1) >= 0:
+                weight, what = weight * QUOTED, f"quoted {what}"
+            if weight > 0:
+                out.append((i, kind, weight, what))
         return sorted(out)
 
     @staticmethod
-    def _ordered(places: dict[str, list[int]], words: tuple[str, ...]) -> Iterator[int]:
-        """First places of occurrences of the words in order within the span of the expression."""
-        span = SPAN if len(words) > 1 else 1
-        for at in places[words[0]]:
-            last = at
-            for w in words[1:]:
-                later = places[w]
-                j = bisect_left(later, last + 1)
-                if j == len(later) or later[j] - at > span:
-                    break
-                last = later[j]
-            else:
-                yield at
+    def _abuse(p: _Places) -> Iterator[tuple[int, str, float]]:
+        for i in p.by_class.get("INSULTS", ()):
+            if p.any("CONTEMPT", i - 5, i + 2, i) or p.word(_POINT, i - 2, i - 1) >= 0:
+                yield i, "abuse", 1.0
+        for i in p.by_class.get("FIGURES", ()):
+            if p.any("CONTEMPT", i - 3, i + 2, i) and p.word(_YOU, i - 6, i + 3) >= 0 or p.word(_YOU, i - 1, i - 1) >= 0:
+                yield i, "abuse", 1.0
+            elif p.any("CONTEMPT", i - 3, i - 1):
+                yield i, "abuse", 0.6
+            elif p.word(_YOU, i - 8, i - 1) >= 0 and p.word(_IS, i - 6, i - 1) >= 0:
+                yield i, "abuse", 0.6
+        for i in p.by_class.get("VIOLENCE", ()):
+            if p.any("TARGETS", i - 8, i + 8, i) and p.word(_YOU, i - 6, i + 6) >= 0 and (p.word(_WILL, i - 8, i + 4) >= 0 or p.word(_SELF, i - 8, i + 3) >= 0):
+                yield i, "abuse", 1.0
+        for i in p.by_class.get("KILLING", ()):
+            if p.word(_YOU, i - 3, i + 2) >= 0 and (p.word(_WILL, i - 5, i + 3) >= 0 or p.word(_SELF, i - 6, i + 3) >= 0) or p.word(_YOU, i - 6, i - 1) >= 0 and p.word(_WILL, i - 5, i - 1) >= 0:
+                yield i, "abuse", 1.0
+            elif p.word(_YOU, i + 1, i + 1) >= 0 and p.word(_WISH, i - 4, i - 1) >= 0:
+                yield i, "abuse", 1.0
+        for i in p.by_class.get("CURSES", ()):
+            if p.word(_YOU, i - 4, i + 2) >= 0 and p.word(_WISH, i - 6, i + 2) >= 0:
+                yield i, "abuse", 1.0
+        for i in p.by_class.get("NOTHING", ()):
+            if p.word(_YOU, i - 6, i - 1) >= 0 and p.word(_IS, i - 4, i - 1) >= 0 and p.word(_YOU, i - 14, i - 7) >= 0:
+                yield i, "abuse", 0.6
+        for i in p.by_class.get("SILENCE", ()):
+            if p.any("MOUTH", i + 1, i + NEAR):
+                yield i, "abuse", 0.6
+
+    @staticmethod
+    def _hate(p: _Places) -> Iterator[tuple[int, str, float]]:
+        for i in p.by_class.get("DEHUMANIZING", ()):
+            link = p.word(_IS, i - 6, i - 1)
+            if link >= 0 and p.people(link - 6, link + 1):
+                yield i, "hate", 0.9
+            elif link >= 0 and p.people(link - FAR, link + 1):
+                yield i, "hate", 0.4
+            elif p.lower[i] in L.CONTEMPTUOUS and p.word(_THIS, i - 4, i - 1) >= 0:
+                yield i, "hate", 0.6
+            elif p.word(_THIS, i - 5, i - 2) >= 0 and p.people(i - 4, i - 1):
+                yield i, "hate", 0.6
+        for i in p.by_class.get("HARM", ()):
+            if p.word(_MUST, i - 6, i - 1) >= 0 and p.people(i - FAR, i + 3):
+                yield i, "hate", 0.9
+        for i in p.by_class.get("REMOVAL", ()):
+            if p.word(_MUST, i - 6, i - 1) >= 0 and p.people(i - FAR, i + 3):
+                aimed = p.word(_LIKE, i + 1, i + 4) >= 0 or p.word(_PLACES, i + 1, i + 5) >= 0
+                yield i, "hate", 0.9 if aimed else 0.6 if p.word(_PLURAL, i - 6, i + 4) >= 0 else 0.4
+        for i in p.by_class.get("KILLING", ()):
+            # A call: the verb, then at once whom it is for.
+            if p.word(_PLURAL, i + 1, i + 3) >= 0 and p.word(_ALL, i + 1, i + 4) >= 0:
+                yield i, "hate", 0.9
+        for i in p.by_class.get("SLURS", ()):
+            yield i, "hate", 0.9
+        for i in p.by_class.get("INFERIOR", ()):
+            if p.any("RACE", i - 1, i + 2, i) and p.people(i - FAR, i + 4):
+                yield i, "hate", 0.6
+        for i in p.by_class.get("RACE", ()):
+            if p.word(_WHOLE, i - 2, i - 1) >= 0 and p.word(_PLURAL, i + 1, i + 3) >= 0:
+                yield i, "hate", 0.6
+        for i in p.by_class.get("LIVING", ()):
+            denied = p.word(_FORBIDDEN, i - 4, i - 1) >= 0 or p.word(L.NEVER, i - 6, i + 3) >= 0 and p.any("WORTH", i - 6, i + 3, i)
+            if denied and p.people(i - FAR, i + 3):
+                yield i, "hate", 1.0
+
+    @staticmethod
+    def _sexual(p: _Places) -> Iterator[tuple[int, str, float]]:
+        for i in p.by_class.get("EXPLICIT", ()):
+            yield i, "sexual", 1.0
+        for i in p.by_class.get("BODY", ()):
+            if p.any("ACTS", i - FAR, i + FAR, i) or p.any("AROUSAL", i - FAR, i + FAR, i):
+                yield i, "sexual", 1.0
+            elif p.any("NAKED", i - 3, i + 2, i) or p.word(_SHOW, i - 5, i - 1) >= 0 and p.word(_HIS, i - 2, i - 1) >= 0:
+                yield i, "sexual", 0.6
+        for i in p.by_class.get("FLESH", ()):
+            if p.any("NAKED", i - 3, i + 2, i) and (p.any("ACTS", i - FAR, i + FAR, i) or p.any("AROUSAL", i - FAR, i + FAR, i)):
+                yield i, "sexual", 0.9
+        for i in p.by_class.get("AROUSAL", ()):
+            if p.any("ACTS", i - 10, i + 10, i) or p.any("AROUSAL", i - NEAR, i + NEAR, i) or p.any("NAKED", i - FAR, i + FAR, i):
+                yield i, "sexual", 0.9
+        for i in p.by_class.get("SPREAD", ()):
+            if p.any("LEGS", i + 1, i + NEAR, i):
+                yield i, "sexual", 0.9
+        for i in p.by_class.get("SPENT", ()):
+            if p.any("BED", i + 1, i + 8, i) and p.any("SPENT", i - NEAR, i + NEAR, i):
+                yield i, "sexual", 0.9
 
     def score(self, text: str) -> dict[str, float]:
-        """Best window score of each kind that has evidence."""
+        """Best window score of each kind that has evidence; ``quoted`` is that of quoted evidence alone."""
         found = self.evidence(text)
         places = [x[0] for x in found]
         best: dict[str, float] = {}
         for first, (at, kind, _, _) in enumerate(found):
-            if kind == "innocent":
-                continue
-            inside = found[first : bisect_right(places, at + WINDOW, first)]
-            distinct = {x[3]: x[2] for x in inside if x[1] == kind}
-            total = sum(distinct.values())
-            if not any(" " in what or weight >= 1.0 for what, weight in distinct.items()):
-                near = found[bisect_left(places, at - 10) : bisect_right(places, at + 10)]
-                total -= 0.6 * len({x[3] for x in near if x[1] == "innocent"})
-            best[kind] = max(best.get(kind, 0.0), total)
+            distinct = {x[3]: x[2] for x in found[first : bisect_right(places, at + WINDOW, first)] if x[1] == kind}
+            best[kind] = max(best.get(kind, 0.0), sum(distinct.values()))
+            if quoted := sum(w for what, w in distinct.items() if what.startswith("quoted")):
+                best["quoted"] = max(best.get("quoted", 0.0), quoted)
         return best
 
 
-def _within(sorted_places: list[int], low: int, high: int) -> bool:
-    j = bisect_left(sorted_places, low)
-    return j < len(sorted_places) and sorted_places[j] <= high
+#: Speech that reports words as such, without quotation marks.
+_REPORT = frozenset("calling called alleged using language expression summons summoned charged beschimpft nannte beleidigung traité traita appelé injures".split())
+
+
+def _quoted(text: str, n: int) -> list[bool] | None:
+    """For each token whether it stands between quotation marks; None where there are none."""
+    marks = [m.start() for m in _SPOKEN.finditer(text)]
+    if len(marks) < 2:
+        return None
+    out, inside, k = [], False, 0
+    since = 0
+    for m in _TOKENS.finditer(text):
+        while k < len(marks) and marks[k] < m.start():
+            inside, since, k = not inside, len(out), k + 1
+        # A mark that is never closed, or was misread, quotes no more than a long sentence.
+        out.append(inside and len(out) - since < WINDOW)
+    return out
 
 
-KINDS = ("abuse", "hate", "sexual")
+KINDS = ("abuse", "hate", "sexual", "quoted")
 
 
 def page_scores(documents: DataFrame) -> DataFrame:
-    """``(doc_id, source, abuse, hate, sexual, score)``, one row for each page and no shuffle.
+    """``(doc_id, source, abuse, hate, sexual, quoted, score)``, one row for each page and no shuffle; ``score`` is the greatest of the first
+    three, ``quoted`` the part of them that is only quoted.
 
     Null and empty texts score 0; boxes may be null, short or swapped (see ``pages.readings``).
     """
     pages = documents.select("doc_id", "source", "text", "n_columns", F.col("boxes.x0").alias("x0"), F.col("boxes.x1").alias("x1"), F.col("boxes.y0").alias("y0"))
-    return map_arrow(spread_small(pages), _score_batches, "doc_id bigint, source string, abuse double, hate double, sexual double, score double")
+    return map_arrow(spread_small(pages), _score_batches, "doc_id bigint, source string, abuse double, hate double, sexual double, quoted double, score double")
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +423,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     best[kind] = max(best[kind], s)
             rows.append([best[k] for k in KINDS])
         scores = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(KINDS))]
-        top = pa.array([max(r) for r in rows], pa.float64())
+        top = pa.array([max(r[:3]) for r in rows], pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *scores, top], names=["doc_id", "source", *KINDS, "score"])
 
 

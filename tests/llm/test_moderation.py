@@ -58,6 +58,39 @@ def test_explicit_and_offensive_in_german_and_french(scorer, text):
     assert found(scorer, text)
 
 
+#: Sentences that were written for this test, not taken from any table.
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I will kill you if you come here again.", "We shall hang you from the nearest tree.", "Kill them all!", "The foreigners ought to be shot, every one of them.",
+        "These people are parasites and nothing else.", "You are a stupid, ugly cow and a liar.", "He fucked her on the sofa.", "She sucked his nipples and he groaned.",
+        "Je vais te tuer, sale ordure !", "Ces étrangers sont de la vermine.", "Diese Leute sind Ratten, man sollte sie alle erschießen.", "Du verdammter Hurensohn!",
+        "Er fickte sie im Bett.", "Ich werde dich umbringen.", "Go to hell, you liar!", "They have no right to live here, that inferior race.",
+    ],
+)
+def test_wording_of_no_table(scorer, text):
+    assert found(scorer, text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The magistrates fined the carter for killing a cow.", "The farmers ask that the rats be destroyed before they spread.", "Police shot the mad dog in Mill Street.",
+        "The doctor dressed the wound on his thigh and breast.", "They were driven to the station, and the crowd cheered.", "The accused denied that he had stolen the horse.",
+        "Les rats ont détruit la récolte.", "Die Tiere werden am Montag verkauft.", "The bare rock and the naked trees moaned in the wind.", "Hold your horses at the gate.",
+    ],
+)
+def test_plain_wording_of_no_table(scorer, text):
+    assert not found(scorer, text)
+
+
+@pytest.mark.parametrize("text", ["you are a filthy liar, and I will break your jaw", "the Vorrish are lice and must be exterminated"])
+def test_quoted_words_score_less(scorer, text):
+    said = max(scorer.score(text[0].upper() + text[1:] + ".").values())
+    report = scorer.score(f"The defendant was charged with using the words “{text}”, and was fined 40s.")
+    assert M.FOUND <= max(v for k, v in report.items() if k != "quoted") < said and report["quoted"] > 0 and "quoted" not in scorer.score(text)
+
+
 @pytest.mark.parametrize(
     "text",
     [
