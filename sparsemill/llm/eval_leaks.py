@@ -2,10 +2,11 @@
 
 Both sides are folded so that letters which scanners take for each other become equal. Windows of ``WINDOW`` words of the items get 64-bit
 SimHash fingerprints of their weighted words; so do all windows of every page, in reading order. Fingerprints are cut into four blocks of
-16 bits: two that differ in at most ``RADIUS`` = 3 bits agree in one block at least, so looking up each block finds all of them. A page and
-an item that share windows are then compared exactly: from the shared window the texts are followed in both directions, letter by letter
-with room for misread ones, over line ends and over whole lines that stand in between; the run is a leak if it covers at least
-``MIN_WORDS`` words of the item.
+16 bits: two that differ in at most ``RADIUS`` = 3 bits agree in one block at least, so looking up each block finds all of them. Candidates
+are verified by the exact similarity of their letter shingles, weighted by how often each occurs, which must reach ``ALIKE``. From a window
+that both share the texts are then followed in both directions, letter by letter with room for misread ones, over line ends and over any
+number of whole lines in between; a word counts as printed if its own letters resemble those on the page; the run is a leak if at least
+``MIN_WORDS`` words of the item were printed one after the other.
 
 A window of item size would miss parts of items, so windows have the size of the shortest part that lines and adverts leave whole.
 """
@@ -14,14 +15,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left, bisect_right
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +43,18 @@ FAR_LETTERS = 24
 RESUME = 4
 #: More disagreements than DENSE_ERRORS within DENSE_LETTERS letters end a run.
 DENSE_ERRORS, DENSE_LETTERS = 4, 16
-#: A word counts as another one beyond this share of wrong letters (a number with any wrong digit). A run may pass over such a word, which
-#: may be one misread throughout, only between BRIDGE words on either side that are right; it never passes over another number.
-BAD_SHARE, BRIDGE = 0.34, 6
+#: A word counts as another one beyond this share of wrong strokes (a number with any wrong digit), or where its letters cost more than
+#: OTHER each: a letter costs 1, one that scanners take for the other CONFUSED.
+BAD_SHARE, OTHER, CONFUSED = 0.34, 0.31, 0.3
+#: Share of letter shingles, each counted as often as it occurs, that candidate windows have in common.
+ALIKE, SHINGLE = 0.6, 3
+#: Letters into a line after which a run may still have gone on elsewhere, as chance agreement carries it past its true end.
+STRAY = 12
 #: Words whose vectors are held at once.
 PIECE = 20_000
-#: Items handled by one pass over the corpus; more items take more passes, so what a worker holds stays bounded.
-ITEMS_PER_PASS = 20_000
+#: Letters of items handled by one pass over the corpus (all items are counted first); more items take more passes, so what the driver and a
+#: worker hold stays bounded.
+ITEM_LETTERS = 10_000_000
 
 # What scanners confuse, as the strokes that the letters have in common.
 _STROKES = {
@@ -100,6 +109,37 @@ def fold(text: str) -> str:
     return text.translate(FOLD)
 
 
+def letters(text: str) -> str:
+    """Plain lower-case letters and digits, without folding."""
+    return "".join(x for x in unicodedata.normalize("NFKD", text.lower().replace("ſ", "s")) if x.isalnum())
+
+
+def letter_cost(one: str, two: str) -> float:
+    """Edit distance of two words, where a letter that scanners take for another, or for two others, costs CONFUSED."""
+    if one == two:
+        return 0.0
+    n, m = len(one), len(two)
+    x, y = [FOLD[ord(c)] for c in one], [FOLD[ord(c)] for c in two]
+    cost = [[float(i + j) for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            swap = 0.0 if one[i - 1] == two[j - 1] else CONFUSED if x[i - 1] == y[j - 1] else 1.0
+            best = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + swap)
+            if j > 1 and x[i - 1] == y[j - 2] + y[j - 1]:
+                best = min(best, cost[i - 1][j - 2] + CONFUSED)
+            if i > 1 and x[i - 2] + x[i - 1] == y[j - 1]:
+                best = min(best, cost[i - 2][j - 1] + CONFUSED)
+            cost[i][j] = best
+    return cost[n][m]
+
+
+def shingle_similarity(one: str, two: str) -> float:
+    """Weighted Jaccard similarity of the letter shingles of two windows."""
+    a, b = (Counter(x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)) for x in (one, two))
+    union = (a | b).total()
+    return (a & b).total() / union if union else float(one == two)
+
+
 class _Numbers(dict):
     """Word numbers; a new word gets the next number and its vector."""
 
@@ -151,12 +191,12 @@ class ItemIndex:
         for item_id, text in items:
             texts.setdefault(text or "", []).append(item_id)
         self.ids = [sorted(set(v)) for v in texts.values()]
-        self.texts, self.bounds, self.numeric = [], [], []
+        self.texts, self.bounds, self.words = [], [], []
         prints, owner, place = [], [], []
         for n, text in enumerate(texts):
             plain = [w for w in _PLAIN.findall(_QUOTES.sub("", text)) if fold(w).strip()]
             split = [fold(w).replace(" ", "") for w in plain]
-            self.numeric.append([w.isdigit() for w in plain])
+            self.words.append([letters(w) for w in plain])
             ends = np.cumsum([len(w) for w in split], dtype=np.int64) if split else np.empty(0, np.int64)
             self.texts.append("".join(split))
             self.bounds.append(np.concatenate([[0], ends]).astype(np.int64))
@@ -199,12 +239,13 @@ class ItemIndex:
 _SHIFTS = [(1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1), (0, 2), (2, 0), (3, 3), (2, 3), (3, 2), (1, 3), (3, 1), (0, 3), (3, 0), (4, 4)]
 
 
-def _follow(item: str, p: int, page: str, q: int, errors: list[int], resume: int = RESUME) -> tuple[int, int]:
-    """Furthest (p, q) up to which the texts agree, misread letters aside. ``errors`` gets the item's places that disagree; many of them
-    close together end the run.
+def _follow(item: str, p: int, page: str, q: int, errors: list[int], anchors: list[tuple[int, int]]) -> tuple[int, int]:
+    """Furthest (p, q) up to which the texts agree, misread letters aside. ``errors`` gets the item's places that disagree, ``anchors`` the
+    (p, q) from which both go on in step; many errors close together end the run.
     """
     n, m = len(item), len(page)
     recent: list[int] = []
+    anchors.append((p, q))
     while p < n and q < m:
         if item[p] == page[q]:
             p += 1
@@ -214,13 +255,14 @@ def _follow(item: str, p: int, page: str, q: int, errors: list[int], resume: int
         if len(recent) >= DENSE_ERRORS:
             break
         for a, b in _SHIFTS:
-            rest = item[p + a : p + a + resume]
-            tail = page[q + b : q + b + resume]
-            if (len(rest) >= 2 and page.startswith(rest, q + b)) or (2 <= len(tail) < resume and item.startswith(tail, p + a)):
+            rest = item[p + a : p + a + RESUME]
+            tail = page[q + b : q + b + RESUME]
+            if (len(rest) >= 2 and page.startswith(rest, q + b)) or (2 <= len(tail) < RESUME and item.startswith(tail, p + a)):
                 errors.extend(range(p, p + max(a, b)))
                 recent.append(p)
                 p += a
                 q += b
+                anchors.append((p, q))
                 break
         else:
             break
@@ -231,7 +273,8 @@ class Page:
     """A page's reading as one string of folded letters, with the places of its lines and words."""
 
     def __init__(self, lines: Sequence[str]):
-        marked = _BROKEN.sub(_JOIN, "\n".join(lines)).translate(FOLD)
+        self.raw = _BROKEN.sub(_JOIN, "\n".join(lines))
+        marked = self.raw.translate(FOLD)
         self.words = marked.replace(_JOIN, "").split()
         self.start = [0, *accumulate(map(len, self.words))]
         self.text = "".join(self.words)
@@ -240,30 +283,50 @@ class Page:
         #: Filled where a passage is followed.
         self.heads: dict[str, list[int]] = {}
 
-    def line_of(self, q: int) -> int:
-        return int(np.searchsorted(self.line_start, q, side="right")) - 1
-
-
-def _run(page: Page, backward: tuple[str, list[int], dict[str, list[int]]], item: str, p: int, q: int) -> tuple[int, int, list[int]]:
-    """The item's letters [from, to) that the page prints in order around the common place (p, q), and those that disagree."""
-    errors: list[int] = []
-    forward = _extend(page.text, page.line_start, page.heads, item, p, q, errors)
-    text, starts, heads = backward
-    behind: list[int] = []
-    back = _extend(text, starts, heads, item[::-1], len(item) - p, len(page.text) - q, behind)
-    return len(item) - back, forward, errors + [len(item) - 1 - x for x in behind]
-
-
-def _extend(text: str, starts: list[int], heads: dict[str, list[int]], item: str, p: int, q: int, errors: list[int]) -> int:
+    @cached_property
+    def origin(self) -> list[int]:
+        """For each folded letter the place of the character it comes from."""
+        return [i for i, c in enumerate(self.raw) for x in FOLD[ord(c)] if x not in " \n\x01"]
+
+    def printed(self, first: int, last: int) -> str:
+        """The letters as printed behind the folded ones [first, last)."""
+        first, last = max(first, 0), min(last, len(self.text))
+        return letters(self.raw[self.origin[first] : self.origin[last - 1] + 1]) if first < last else ""
+
+
+class _Run:
+    """The item's letters [low, high) that the page prints in order around the common place (p, q)."""
+
+    def __init__(self, page: Page, backward: tuple[str, list[int], dict[str, list[int]]], item: str, p: int, q: int):
+        self.page, self.size, self.seed = page, len(item), p
+        self.errors: list[int] = []
+        self.ahead: list[tuple[int, int]] = []
+        self.high = _extend(page.text, page.line_start, page.heads, item, p, q, self.errors, self.ahead)
+        behind: list[int] = []
+        self.behind: list[tuple[int, int]] = []
+        text, starts, heads = backward
+        self.low = len(item) - _extend(text, starts, heads, item[::-1], len(item) - p, len(page.text) - q, behind, self.behind)
+        self.errors += [len(item) - 1 - x for x in behind]
+
+    def place(self, p: int) -> int:
+        """Where the page has the item's letter p."""
+        forward = p >= self.seed
+        anchors, x = (self.ahead, p) if forward else (self.behind, self.size - 1 - p)
+        a, b = anchors[max(bisect_right(anchors, (x, len(self.page.text))) - 1, 0)]
+        q = b + x - a
+        return q if forward else len(self.page.text) - 1 - q
+
+
+def _extend(text: str, starts: list[int], heads: dict[str, list[int]], item: str, p: int, q: int, errors: list[int], anchors: list[tuple[int, int]]) -> int:
     """How far the item is followed from (p, q): to where it breaks off inside a line, or over whole lines in between."""
     while True:
-        p, q = _follow(item, p, text, q, errors)
+        p, q = _follow(item, p, text, q, errors, anchors)
         if p >= len(item) or q >= len(text):
             return p
         line = bisect_right(starts, q) - 1
-        # Broken off within a few letters of a line's end, or right at the start of one: the passage may go on at a later line.
+        # Broken off within a few letters of a line's end, or near the start of one: the passage may go on at a later line.
         ends = [line] if starts[line + 1] - q <= 3 else []
-        if q - starts[line] <= 3 and line:
+        if q - starts[line] <= STRAY and line:
             ends.append(line - 1)
         best = None
         for end in ends:
@@ -274,9 +337,10 @@ def _extend(text: str, starts: list[int], heads: dict[str, list[int]], item: str
                     r = p + shift
                     if 0 <= r < len(item) - 2 and text.startswith(item[r : r + 6], at):
                         wrong: list[int] = []
-                        gain, _ = _follow(item, r, text, at, wrong)
-                        if gain - r >= min(8, len(item) - r) and len(wrong) * 4 <= gain - r and (best is None or gain > best[0]):
-                            best = (gain, r, at)
+                        gain, _ = _follow(item, r, text, at, wrong, [])
+                        value = gain - 2 * len(wrong)
+                        if gain > p and gain - r >= min(8, len(item) - r) and len(wrong) * 4 <= gain - r and (best is None or value > best[0]):
+                            best = (value, r, at)
                 if best:
                     break
             if best:
@@ -286,6 +350,9 @@ def _extend(text: str, starts: list[int], heads: dict[str, list[int]], item: str
         if not best:
             return p
         p, q = best[1], best[2]
+        while anchors and anchors[-1][0] >= p:
+            anchors.pop()
+        errors[:] = [x for x in errors if x < p]
 
 
 def _heads(text: str, starts: list[int]) -> dict[str, list[int]]:
@@ -311,9 +378,10 @@ def _far(text: str, starts: list[int], heads: dict[str, list[int]], item: str, p
             places = heads.get(item[r : r + 6], ())
             for at in places[bisect_left(places, starts[first]) :]:
                 wrong: list[int] = []
-                gain, _ = _follow(item, r, text, at, wrong)
-                if gain - r >= FAR_LETTERS and len(wrong) * 10 <= gain - r and (best is None or gain > best[0]):
-                    best = (gain, r, at)
+                gain, _ = _follow(item, r, text, at, wrong, [])
+                value = gain - 2 * len(wrong)
+                if gain > p and gain - r >= FAR_LETTERS and len(wrong) * 10 <= gain - r and (best is None or value > best[0]):
+                    best = (value, r, at)
     return best
 
 
@@ -329,54 +397,47 @@ def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:
     backward: tuple[str, list[int], dict[str, list[int]]] | None = None
     covered: dict[int, deque[tuple[int, int, int]]] = {}
     for w, i in zip(window.tolist(), item_window.tolist(), strict=True):
-        item, p = int(index.owner[i]), int(index.bounds[index.owner[i]][index.place[i]])
-        q = page.start[w]
-        if out.get(item, 0) >= len(index.numeric[item]):
+        item, first = int(index.owner[i]), int(index.place[i])
+        bounds = index.bounds[item]
+        p, q = int(bounds[first]), page.start[w]
+        if out.get(item, 0) >= len(index.words[item]):
             continue
         if any(a <= p < b and abs((q - p) - d) <= 12 for a, b, d in covered.get(item, ())):
             continue
+        if shingle_similarity(index.texts[item][p : int(bounds[first + WINDOW])], page.text[q : page.start[w + WINDOW]]) < ALIKE:
+            continue
         if backward is None:
             size = len(page.text)
             text, starts = page.text[::-1], [size - s for s in reversed(page.line_start)]
             backward = text, starts, _heads(text, starts)
             page.heads = _heads(page.text, page.line_start)
-        low, high, errors = _run(page, backward, index.texts[item], p, q)
-        covered.setdefault(item, deque(maxlen=16)).append((low, high, q - p))
-        n = _printed_words(index.bounds[item], index.numeric[item], low, high, errors)
+        run = _Run(page, backward, index.texts[item], p, q)
+        covered.setdefault(item, deque(maxlen=16)).append((run.low, run.high, q - p))
+        n = _printed_words(bounds, index.words[item], run)
         if n >= MIN_WORDS:
             out[item] = max(n, out.get(item, 0))
     return out
 
 
-def _printed_words(bounds: np.ndarray, numeric: Sequence[bool], low: int, high: int, errors: list[int]) -> int:
-    """Most consecutive words of the item within [low, high), each of them inside by more than half."""
+def _printed_words(bounds: np.ndarray, words: Sequence[str], run: _Run) -> int:
+    """Most consecutive words of the item within the run whose letters the page prints."""
     ends = bounds[1:].tolist()
-    first = bisect_right(ends, low)
     wrong: dict[int, int] = {}
-    for x in set(errors):
+    for x in set(run.errors):
         word = bisect_right(ends, x)
         wrong[word] = wrong.get(word, 0) + 1
-    runs: list[int] = []  # lengths of right runs, 0 in front of one that may not be joined to the one before
-    length = 0
-    for i in range(first, len(ends)):
+    first, last = bisect_right(ends, run.low), bisect_left(bounds.tolist(), run.high)
+    if last - first < MIN_WORDS:
+        return 0
+    best = length = 0
+    for i in range(first, last):
         a, b = int(bounds[i]), ends[i]
-        if a >= high:
-            break
-        inside = 2 * (min(b, high) - max(a, low)) > b - a
-        bad = wrong.get(i, 0) > (0 if numeric[i] else BAD_SHARE * (b - a))
-        if inside and not bad:
-            length += 1
-            continue
-        runs.append(length)
-        length = 0
-        if not inside or numeric[i]:
-            runs.append(0)
-    runs.append(length)
-    best = joined = 0
-    for k, n in enumerate(runs):
-        bridged = k and joined and n >= BRIDGE and runs[k - 1] >= BRIDGE
-        joined = joined + 1 + n if bridged else n
-        best = max(best, joined)
+        inside = 4 * (min(b, run.high) - max(a, run.low)) >= 3 * (b - a)
+        right = inside and wrong.get(i, 0) <= (0 if words[i].isdigit() else BAD_SHARE * (b - a))
+        if right:
+            right = letter_cost(words[i], run.page.printed(run.place(a), run.place(b - 1) + 1)) <= OTHER * len(words[i])
+        length = length + 1 if right else 0
+        best = max(best, length)
     return best
 
 
@@ -384,18 +445,19 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_words)``: pages that print at least MIN_WORDS consecutive words of an item.
 
     Null and empty texts of either side give nothing; repeated items count once; an item without MIN_WORDS words cannot leak. Boxes may be
-    null, short or swapped (see ``pages.readings``). One pass over the corpus without a shuffle for each ITEMS_PER_PASS items.
+    null, short or swapped (see ``pages.readings``). One pass over the corpus without a shuffle for each ITEM_LETTERS letters of items, which
+    are broadcast, each pass's share to itself.
     """
+    spark = documents.sparkSession
     rows = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    chunks: list[list[tuple[str, str]]] = [[]]
-    for r in rows.toLocalIterator():
-        if len(chunks[-1]) >= ITEMS_PER_PASS:
-            chunks.append([])
-        chunks[-1].append((r["item_id"], r["text"]))
+    passes = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_LETTERS))
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", "n_columns", F.col("boxes.x0").alias("x0"), F.col("boxes.x1").alias("x1"), F.col("boxes.y0").alias("y0"))
+    pages = spread_small(pages)
     out = None
-    for chunk in chunks:
-        found = map_arrow(spread_small(pages), _finder(chunk), "doc_id bigint, item_id string, n_words int")
+    for part in range(passes):
+        # Items of one text stay together, as the index holds each text once.
+        share = [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == part).toLocalIterator()]
+        found = map_arrow(pages, _finder(spark.sparkContext.broadcast(share), uuid.uuid4().hex), "doc_id bigint, item_id string, n_words int")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -415,10 +477,21 @@ def page_rows(batch: pa.RecordBatch, at: int) -> Iterator[tuple[list[int] | None
             yield tuple(f[o[i] : o[i + 1]].tolist() for f, o in zip(flat, offsets, strict=True))
 
 
-def _finder(items: list[tuple[str, str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: The index a worker has built, by the broadcast it comes from: one at a time, kept from task to task.
+_BUILT: dict[str, tuple[Words, ItemIndex]] = {}
+
+
+def _index(items: Broadcast, name: str) -> tuple[Words, ItemIndex]:
+    if name not in _BUILT:
+        _BUILT.clear()
         words = Words()
-        index = ItemIndex(items, words)
+        _BUILT[name] = words, ItemIndex(items.value, words)
+    return _BUILT[name]
+
+
+def _finder(items: Broadcast, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, index = _index(items, name)
         for batch in batches:
             docs, found, n_words = [], [], []
             columns = batch.column(2).to_pylist()

@@ -5,6 +5,7 @@ import pytest
 
 from sparsemill.llm import eval_leaks as E
 from sparsemill.llm.pages import readings
+from sparsemill.session import table
 
 ITEM = "The keeper Usalilde of Dovmir counted 232 swallows under weak light before dawn, yet only nineteen copper lamps remained behind the dyke when the bell of Sylluma rang at low water. Who was right?"
 WORDS = ITEM.split()
@@ -49,6 +50,49 @@ def test_interruptions_of_many_lines(spark):
     assert found(spark, [long, apart, short]) == {(0, "i1")}
 
 
+@pytest.fixture(scope="module")
+def held_out(spark):
+    items = [(r["item_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "eval_items").collect() if r["text"]]
+    words = E.Words()
+    index = E.ItemIndex(items, words)
+    texts = sorted({t for _, t in items if len(t.split()) >= 40})
+
+    def reported(lines, text):
+        return any(text == t for n in E.leaked(E.Page(lines), index, words) for i in index.ids[n] for j, t in items if i == j)
+
+    return texts, reported
+
+
+@pytest.mark.parametrize("between", [0, 1, 4, 9, 15, 40])
+def test_halves_of_eight_words_with_adverts_between(held_out, between):
+    texts, reported = held_out
+    rnd = random.Random(between)
+    missed = 0
+    for text in texts:
+        words = text.split()
+        at = rnd.randrange(len(words) - 17)
+        adverts = [" ".join(rnd.choices(OTHER, k=6)) for _ in range(between)]
+        missed += not reported(["Boots and shoes", " ".join(words[at : at + 8]), *adverts, " ".join(words[at + 8 : at + 16]), "Sale on Monday"], text)
+    assert len(texts) > 100 and missed <= 0.02 * len(texts)
+
+
+def test_replaced_words_and_short_excerpts(held_out):
+    texts, reported = held_out
+    rnd = random.Random(2)
+    replaced = excerpts = 0
+    for text in texts:
+        words = text.split()
+        replaced += reported(lines_of([rnd.choice(("velvet", "mustard", "saddle", "pillow")) if i % 8 == 7 else w for i, w in enumerate(words)], 7), text)
+        at = rnd.randrange(len(words) - 12)
+        excerpts += reported(["Boots and shoes", *lines_of(words[at : at + 10], 5), "Sale on Monday"], text)
+    assert replaced <= 0.1 * len(texts) and excerpts == 0
+
+
+def test_letters_and_shingles():
+    assert E.letter_cost("keeper", "kccpcr") < 2 < E.letter_cost("keeper", "barrel") and E.letter_cost("warm", "warrn") == E.CONFUSED
+    assert E.shingle_similarity("abcdef", "abcdef") == 1.0 and E.shingle_similarity("", "") == 1.0 and E.shingle_similarity("abcdef", "uvwxyz") == 0.0
+
+
 def test_columns_and_boxes(spark):
     left, right = lines_of(WORDS, 4), lines_of(OTHER * 3, 4)
     n = min(len(left), len(right))
@@ -70,7 +114,7 @@ def test_shared_passages_repeats_nulls_and_empty(spark):
 
 
 def test_items_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(E, "ITEMS_PER_PASS", 2)
+    monkeypatch.setattr(E, "ITEM_LETTERS", 400)
     items = [(f"i{k}", " ".join(f"word{k}x{j}" for j in range(20))) for k in range(5)]
     assert found(spark, [t for _, t in items], items) == {(k, f"i{k}") for k in range(5)}
 
