@@ -43,13 +43,13 @@ FAR_LETTERS = 24
 RESUME = 4
 #: More disagreements than DENSE_ERRORS within DENSE_LETTERS letters end a run.
 DENSE_ERRORS, DENSE_LETTERS = 4, 16
-#: A word counts as another one beyond this share of wrong strokes (a number with any wrong digit), or where its letters cost more than
-#: OTHER each: a letter costs 1, one that scanners take for the other CONFUSED.
+#: A word counts as another one beyond this share of wrong strokes (a number with any wrong digit), or where its letters but one cost
+#: more than OTHER each: a letter costs 1, one that scanners take for the other CONFUSED.
 BAD_SHARE, OTHER, CONFUSED = 0.34, 0.31, 0.3
 #: Share of letter shingles, each counted as often as it occurs, that candidate windows have in common.
 ALIKE, SHINGLE = 0.6, 3
 #: Letters into a line after which a run may still have gone on elsewhere, as chance agreement carries it past its true end.
-STRAY = 12
+STRAY = 24
 #: Words whose vectors are held at once.
 PIECE = 20_000
 #: Letters of items handled by one pass over the corpus (all items are counted first); more items take more passes, so what the driver and a
@@ -411,6 +411,12 @@ def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:
             text, starts = page.text[::-1], [size - s for s in reversed(page.line_start)]
             backward = text, starts, _heads(text, starts)
             page.heads = _heads(page.text, page.line_start)
+        # From the longest word that both windows have: the first one may be another word, where lines meet.
+        same = [k for k in range(WINDOW) if page.words[w + k] == index.texts[item][int(bounds[first + k]) : int(bounds[first + k + 1])]]
+        if not same:
+            continue
+        k = max(same, key=lambda k: len(page.words[w + k]))
+        p, q = int(bounds[first + k]), page.start[w + k]
         run = _Run(page, backward, index.texts[item], p, q)
         covered.setdefault(item, deque(maxlen=16)).append((run.low, run.high, q - p))
         n = _printed_words(bounds, index.words[item], run)
@@ -435,7 +441,7 @@ def _printed_words(bounds: np.ndarray, words: Sequence[str], run: _Run) -> int:
         inside = 4 * (min(b, run.high) - max(a, run.low)) >= 3 * (b - a)
         right = inside and wrong.get(i, 0) <= (0 if words[i].isdigit() else BAD_SHARE * (b - a))
         if right:
-            right = letter_cost(words[i], run.page.printed(run.place(a), run.place(b - 1) + 1)) <= OTHER * len(words[i])
+            right = letter_cost(words[i], run.page.printed(run.place(a), run.place(b - 1) + 1)) <= max(CONFUSED, OTHER * (len(words[i]) - 1))
         length = length + 1 if right else 0
         best = max(best, length)
     return best
