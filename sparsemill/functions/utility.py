@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PRECISIONS = {"s": 1_000_000, "ms": 1_000, "us": 1}
+#: Timestamps have microseconds, so that nanoseconds leave them as they are.
+_PRECISIONS = {"s": 1_000_000, "ms": 1_000, "us": 1, "ns": 1}
 
 
 def truncate_time(ts: Column, precision: str) -> Column:
-    """Timestamp cut to seconds, milliseconds or microseconds, toward the epoch."""
+    """Timestamp cut to seconds, milliseconds, microseconds or nanoseconds, toward the epoch."""
     unit = _PRECISIONS[precision]
     micros = F.unix_micros(ts.cast("timestamp"))
     return F.timestamp_micros(micros - (micros % F.lit(unit)))

@@ -37,6 +37,25 @@ def delete_rows(postings: DataFrame, tombstones: DataFrame) -> DataFrame:
     return postings.join(tombstones.select("row_id").where(F.col("row_id").isNotNull()), "row_id", "left_anti")
 
 
+def delete_rows_extended(postings: DataFrame, tombstones: DataFrame, lowest: float = float("-inf")) -> DataFrame:
+    """``delete_rows``, then suffix maxima anew, as those before a deleted row may fall."""
+    return with_suffix_max(delete_rows(postings, tombstones), lowest)
+
+
+def differing_postings(one: DataFrame, two: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    """``(dim_id, row_id)`` in which two sets of lists are not approximately equal: held by one only, or with weights further apart than a code
+    step of ``params(dim_id, q_diff)`` (half a percent without). Equal sets give no rows; equal nulls are equal.
+    """
+    a = one.select("dim_id", "row_id", F.col("weight").alias("_a"), F.lit(True).alias("_in_a"))
+    b = two.select("dim_id", "row_id", F.col("weight").alias("_b"), F.lit(True).alias("_in_b"))
+    both = a.join(b, ["dim_id", "row_id"], "full")
+    if params is not None:
+        both = both.join(params.select("dim_id", "q_diff"), "dim_id", "left")
+    close = W.approximately_equal(F.col("_a"), F.col("_b"), None if params is None else F.coalesce("q_diff", F.lit(0.0)))
+    same = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & F.coalesce(close, F.col("_a").isNull() & F.col("_b").isNull())
+    return both.where(~same).select("dim_id", "row_id")
+
+
 def with_suffix_max(postings: DataFrame, lowest: float = float("-inf"), chunk: int = 65_536) -> DataFrame:
     """Adds ``max_next_weight``: the greatest weight of later rows of the list, ``lowest`` for the last.
 

@@ -17,6 +17,8 @@ from sparsemill.session import broadcast_if_small
 SCORE_DIGITS = 6
 #: A query vector given as Python values may have so many dims; larger ones come as a DataFrame.
 MAX_LITERAL_DIMS = 100_000
+#: Postings that pruning must spare to be worth a job of its own.
+PRUNE_POSTINGS = 10_000_000
 
 Query = Mapping[int, float] | DataFrame
 
@@ -93,29 +95,36 @@ def combine_top_k(parts: list[DataFrame], k: int) -> DataFrame:
     return top_k(out, k)
 
 
-def search_pruned(postings: DataFrame, query: Mapping[int, float], k: int, alive: DataFrame | bytes | None = None, seed_rows: int = 4096) -> DataFrame:
-    """Same result as ``search`` with bound pruning: exact scores of a few seed rows bound the k-th score; dims whose
-    maxima cannot reach it together only score the rows that another dim has found. Falls back where a weight is negative.
+def search_pruned(postings: DataFrame, query: Mapping[int, float], k: int, alive: DataFrame | bytes | None = None, stats: DataFrame | None = None, least_saved: int = PRUNE_POSTINGS) -> DataFrame:
+    """Same result as ``search`` with bound pruning by ``stats(dim_id, n, min_w, max_w)``, upper bounds of each list (an extended index
+    stores them; at most the query's dims are read).
+
+    The k-th weight of the list with the greatest bound bounds the k-th score from below; lists whose bounds cannot reach it together only
+    score the rows that another list has found, so that rows of theirs alone never move. That takes a job of its own: it is left out where
+    no such choice of lists could spare ``least_saved`` postings, where a weight is negative, and without stats.
     """
-    if k <= 0 or not query or min(query.values()) < 0:
+    if stats is None or k <= 0 or not query or min(query.values()) < 0:
+        return search(postings, query, k, alive)
+    lists = {r["dim_id"]: r for r in stats.where(F.col("dim_id").isin([int(d) for d in query])).collect()}
+    if not lists or min(r["min_w"] for r in lists.values()) < 0:
         return search(postings, query, k, alive)
-    live = keep_alive(postings.where(F.col("dim_id").isin([int(d) for d in query])), alive)
-    bounds = {r["dim_id"]: max(0.0, float(r["m"])) * float(query[r["dim_id"]]) for r in live.groupBy("dim_id").agg(F.max("weight").alias("m")).collect()}
-    if not bounds:
+    bounds = {d: float(r["max_w"]) * float(query[d]) for d, r in lists.items()}
+    order = sorted(bounds, key=lambda d: (bounds[d], d))
+    if sum(lists[d]["n"] for d in order[:-1]) < least_saved:
         return search(postings, query, k, alive)
-    order = sorted(bounds, key=bounds.get)
-    seeds = live.where(F.col("dim_id") == order[-1]).orderBy(F.desc("weight"), "row_id").limit(max(seed_rows, k)).select("row_id")
-    found = top_k(scores(live.join(F.broadcast(seeds), "row_id", "left_semi"), query).where(F.col("score") > 0), k).collect()
-    floor = found[-1]["score"] - 1e-5 if len(found) == k else 0.0
+    best = keep_alive(postings.where(F.col("dim_id") == order[-1]), alive).orderBy(F.desc("weight"), "row_id").limit(k)
+    weakest = best.agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("w")).first()
+    floor = float(weakest["w"]) * float(query[order[-1]]) * (1 - 1e-6) if weakest["n"] == k else 0.0
     total, rest = 0.0, []
     for d in order:
         total += bounds[d]
         if total >= floor:
             break
         rest.append(d)
-    if not rest:
+    if sum(lists[d]["n"] for d in rest) < max(least_saved, 1):
         return search(postings, query, k, alive)
-    essential = live.where(~F.col("dim_id").isin(rest))
+    live = keep_alive(postings, alive)
+    essential = live.where(F.col("dim_id").isin([d for d in order if d not in rest]))
     late = live.where(F.col("dim_id").isin(rest)).join(essential.select("row_id").distinct(), "row_id", "left_semi")
     return search(essential.unionByName(late), query, k)
 

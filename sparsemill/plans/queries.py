@@ -90,6 +90,12 @@ def search_pruned(spark, d):
     return S.search_pruned(line_vectors(spark, d), QUERY, 10)
 
 
+@R.add(_search_sql(SQL_L, "L", QUERY, 10))
+def search_pruned_lists(spark, d):
+    rows = line_vectors(spark, d)
+    return S.search_pruned(rows, QUERY, 10, stats=P.dim_stats(rows), least_saved=1)
+
+
 @R.add(_search_sql(SQL_E, "E", SIGNED, 10))
 def search_signed_weights(spark, d):
     return S.search(embedding_postings(spark, d), SIGNED, 10)
@@ -315,6 +321,14 @@ def max_next_weight(spark, d):
     return P.with_suffix_max(line_vectors(spark, d), chunk=1000)
 
 
+@R.add(
+    f"""WITH {SQL_L}, K AS (SELECT * FROM L WHERE row_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) SELECT row_id, dim_id, weight,
+ coalesce(max(weight) OVER (PARTITION BY dim_id ORDER BY row_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), CAST('-infinity' AS FLOAT)) AS max_next_weight FROM K"""
+)
+def postings_delete_extended(spark, d):
+    return P.delete_rows_extended(line_vectors(spark, d), alive_orders(spark, d))
+
+
 _STATS_SQL = "count(*) AS n, min(row_id) AS min_row, max(row_id) AS max_row, min(weight) AS min_w, max(weight) AS max_w"
 
 
@@ -431,6 +445,23 @@ def search_u8(spark, d):
     return S.search(line_vectors(spark, d).withColumn("weight", W.as_weight_type(F.col("weight"), "u8")), QUERY, 10)
 
 
+@R.add(
+    f"""WITH {SQL_E}, {_PARAMS_SQL.format(t='E')}, C AS (SELECT *, {_CODE_SQL} AS code FROM E JOIN PARAMS USING (dim_id)), B AS (SELECT row_id, dim_id, weight, {_BACK_SQL} AS back FROM C)
+ SELECT dim_id, row_id FROM B WHERE NOT abs(CAST(weight AS DOUBLE) - CAST(back AS DOUBLE)) <= CAST(greatest(abs(weight), abs(back)) AS DOUBLE) * 0.005"""
+)
+def lists_differing_after_codes(spark, d):
+    e = embedding_postings(spark, d)
+    back = P.dequantize_postings(P.quantize_postings(e, P.quant_params(e)))
+    return P.differing_postings(e, back)
+
+
+@R.add("SELECT CAST(NULL AS BIGINT) AS dim_id, CAST(NULL AS BIGINT) AS row_id WHERE false")
+def lists_equal_within_a_code(spark, d):
+    e = embedding_postings(spark, d)
+    params = P.quant_params(e)
+    return P.differing_postings(e, P.dequantize_postings(P.quantize_postings(e, params)), params)
+
+
 # ---- bitmaps
 
 

@@ -6,14 +6,18 @@
     <dir>/segments/<id>/postings/       clustered by range of dim_id, sorted by (dim_id, row_id)
     <dir>/segments/<id>/rows/           row_id, opstamp of each vector, empty ones included
     <dir>/segments/<id>/params/         quantized indexes: q_min and q_diff of each list
-    <dir>/.writer.lock
+    <dir>/segments/<id>/stats/          extended indexes: size and greatest weight of each list
+    <dir>/deletes/<id>/                 row_id, opstamp: what the row wrote up to that opstamp is gone
+    <dir>/.writer.lock                  who writes, and until when
 
-A commit writes segments first and swaps the pointer last: readers see the old or the new snapshot. Nothing in place is rewritten.
+A commit writes segments first and swaps the pointer last: readers see the old or the new snapshot. Nothing in place is rewritten. The swap
+needs a file system whose rename replaces a file in one step (HDFS, local disks, and the like; not a bare object store).
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sparsemill.config import IndexSettings
 from sparsemill.operators import postings as P
+from sparsemill.session import broadcast_if_small, ensure_checkpoint_dir
 from sparsemill.sources.filesystem import Folder
 
 
@@ -53,6 +58,19 @@ class Segment:
     checksum: int
     min_opstamp: int
     max_opstamp: int
+    min_row: int = 0
+    max_row: int = 2**32 - 1
+    #: Checksums of the parts beside the postings.
+    parts: tuple[tuple[str, int, int], ...] = ()
+    settings: str = ""
+
+
+@dataclass(frozen=True)
+class Deletes:
+    """A table of (row_id, opstamp)."""
+
+    delete_id: str
+    rows_count: int
 
 
 @dataclass(frozen=True)
@@ -63,7 +81,7 @@ class Snapshot:
     payload: str | None = None
     stream_batch: int = -1
     unique_rows: bool = True
-    tombstones: tuple[str, ...] = field(default=())
+    tombstones: tuple[Deletes, ...] = field(default=())
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -72,8 +90,8 @@ class Snapshot:
     def from_json(cls, text: str) -> Snapshot:
         try:
             raw = json.loads(text)
-            raw["segments"] = tuple(Segment(**s) for s in raw["segments"])
-            raw["tombstones"] = tuple(raw["tombstones"])
+            raw["segments"] = tuple(Segment(**{**s, "parts": tuple(map(tuple, s.get("parts", ())))}) for s in raw["segments"])
+            raw["tombstones"] = tuple(Deletes(**t) for t in raw["tombstones"])
             return cls(**raw)
         except (ValueError, KeyError, TypeError) as error:
             raise Corrupt(f"snapshot: {error}") from error
@@ -102,6 +120,16 @@ class SparseIndex:
         index._publish(Snapshot())
         return index
 
+    @classmethod
+    def create_temporary(cls, spark: SparkSession, settings: IndexSettings | None = None) -> SparseIndex:
+        """A new index in a folder of its own under the session's shared checkpoint directory; ``drop`` removes it."""
+        ensure_checkpoint_dir(spark)
+        return cls.create(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4()}", settings)
+
+    def drop(self) -> None:
+        """Delete the whole folder."""
+        self.folder.delete()
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SparseIndex:
         if not cls.exists(spark, path):
@@ -150,32 +178,64 @@ class SparseIndex:
         writer = data.repartitionByRange("dim_id", "row_id").sortWithinPartitions("dim_id", "row_id").write.mode("overwrite")
         writer.options(**self.settings.writer_options()).parquet(self.segment_path(segment_id))
         data.unpersist()
-        rows.select("row_id", "opstamp").write.mode("overwrite").parquet(self.segment_path(segment_id, "rows"))
+        # Sorted, so that a later commit's check for its rows reads few row groups.
+        rows.select("row_id", "opstamp").repartitionByRange("row_id").sortWithinPartitions("row_id").write.mode("overwrite").parquet(self.segment_path(segment_id, "rows"))
         counted = self.spark.read.parquet(self.segment_path(segment_id, "rows")).agg(
-            F.countDistinct("row_id").alias("n"), F.min("opstamp").alias("lo"), F.max("opstamp").alias("hi")
+            F.count(F.lit(1)).alias("n"), F.min("opstamp").alias("lo"), F.max("opstamp").alias("hi"), F.min("row_id").alias("first"), F.max("row_id").alias("last"),
+            F.bit_xor(F.xxhash64("opstamp", "row_id")).alias("x"),
         ).first()
         if not counted["n"]:
             self.folder.delete(f"segments/{segment_id}")
             return None
+        parts = [("rows", counted["n"], counted["x"])]
+        if self.settings.quantized:
+            parts.append(("params", *self._checksum(segment_id, "params")))
+        if self.settings.supports_pruning:
+            stats = self.spark.read.parquet(self.segment_path(segment_id)).groupBy("dim_id").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("min_w"), F.max("weight").alias("max_w"))
+            stats.repartitionByRange("dim_id").sortWithinPartitions("dim_id").write.mode("overwrite").parquet(self.segment_path(segment_id, "stats"))
+            parts.append(("stats", *self._checksum(segment_id, "stats")))
         n, checksum = self._checksum(segment_id)
-        return Segment(segment_id, counted["n"], n, checksum, counted["lo"], counted["hi"])
+        return Segment(
+            segment_id, counted["n"], n, checksum, counted["lo"], counted["hi"], counted["first"], counted["last"], tuple(parts), self.settings.to_json()
+        )
 
-    def _checksum(self, segment_id: str) -> tuple[int, int]:
-        stored = self.spark.read.parquet(self.segment_path(segment_id))
+    def _checksum(self, segment_id: str, part: str = "postings") -> tuple[int, int]:
+        """Rows and a checksum of what is stored, which does not depend on their order."""
+        stored = self.spark.read.parquet(self.segment_path(segment_id, part))
         r = stored.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*sorted(stored.columns))).alias("x")).first()
         return r["n"], r["x"] or 0
 
     def validate_checksums(self) -> list[str]:
-        """Ids of segments whose data are not what the manifest says."""
+        """Ids of segments of which some part is not what the manifest says."""
         damaged = []
         for s in self.snapshot().segments:
             try:
-                if self._checksum(s.segment_id) != (s.postings_count, s.checksum):
+                if any(self._checksum(s.segment_id, part) != (n, x) for part, n, x in (("postings", s.postings_count, s.checksum), *s.parts)):
                     damaged.append(s.segment_id)
             except Exception:  # unreadable files are damage too
                 damaged.append(s.segment_id)
         return damaged
 
+    # ---- deletes
+
+    def write_deletes(self, rows: DataFrame) -> Deletes | None:
+        """Store ``rows(row_id, opstamp)``; null ids delete nothing."""
+        delete_id = str(uuid.uuid4())
+        newest = rows.where(F.col("row_id").isNotNull()).groupBy("row_id").agg(F.max("opstamp").alias("opstamp"))
+        newest.write.mode("overwrite").parquet(f"{self.path}/deletes/{delete_id}")
+        n = self.spark.read.parquet(f"{self.path}/deletes/{delete_id}").count()
+        if not n:
+            self.folder.delete(f"deletes/{delete_id}")
+            return None
+        return Deletes(delete_id, n)
+
+    def without_deleted(self, df: DataFrame, deletes: tuple[Deletes, ...]) -> DataFrame:
+        """``df(row_id, opstamp, …)`` without what a row wrote up to its delete; the list of deletes is broadcast if it is small."""
+        if not deletes:
+            return df
+        gone = self.spark.read.parquet(*[f"{self.path}/deletes/{t.delete_id}" for t in deletes]).groupBy("row_id").agg(F.max("opstamp").alias("_until"))
+        return df.join(broadcast_if_small(gone), "row_id", "left").where(F.col("_until").isNull() | (F.col("opstamp") > F.col("_until"))).drop("_until")
+
     def segment_postings(self, segment_id: str) -> DataFrame:
         """``(dim_id, row_id, weight, opstamp)`` of a segment, decoded where quantized."""
         stored = self.spark.read.parquet(self.segment_path(segment_id))
@@ -184,6 +244,13 @@ class SparseIndex:
             stored = P.dequantize_postings(stored.join(params, "dim_id"))
         return stored.select("dim_id", "row_id", "weight", "opstamp")
 
+    def list_stats(self, snapshot: Snapshot, dims: list[int]) -> DataFrame | None:
+        """``(dim_id, n, min_w, max_w)`` of some lists over all segments, from the stored statistics; None where there are none."""
+        if not self.settings.supports_pruning or not snapshot.segments:
+            return None
+        stats = self.spark.read.parquet(*[self.segment_path(s.segment_id, "stats") for s in snapshot.segments]).where(F.col("dim_id").isin(dims))
+        return stats.groupBy("dim_id").agg(F.sum("n").alias("n"), F.min("min_w").alias("min_w"), F.max("max_w").alias("max_w"))
+
     def segment_rows(self, segment_id: str) -> DataFrame:
         return self.spark.read.parquet(self.segment_path(segment_id, "rows")).select("row_id", "opstamp")
 
@@ -195,15 +262,19 @@ class SparseIndex:
         dead = [s for s in self.folder.list("segments") if s not in living]
         for s in dead:
             self.folder.delete(f"segments/{s}")
+        named = {t.delete_id for v in keep if self.folder.exists(f"_snapshots/{v}.json") for t in self.snapshot(v).tombstones}
+        for t in self.folder.list("deletes"):
+            if t not in named:
+                self.folder.delete(f"deletes/{t}")
         for name in self.folder.list("_snapshots"):
             if name.endswith(".json") and int(name[:-5]) not in keep:
                 self.folder.delete(f"_snapshots/{name}")
         return dead
 
-    def writer(self, policy=None, buffer_rows: int = 10_000):
+    def writer(self, policy=None, buffer_rows: int = 10_000, **options):
         from sparsemill.sources.writer import IndexWriter
 
-        return IndexWriter(self, policy, buffer_rows)
+        return IndexWriter(self, policy, buffer_rows, **options)
 
     def reader(self):
         from sparsemill.sources.reader import IndexReader

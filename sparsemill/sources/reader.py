@@ -42,21 +42,28 @@ class Searcher:
         stored = self._stored()
         if dims is not None:
             stored = stored.where(F.col("dim_id").isin(dims))
+        stored = self.index.without_deleted(stored, self.snapshot.tombstones)
         return (stored if self.snapshot.unique_rows else P.upsert(stored)).select("dim_id", "row_id", "weight")
 
     def rows(self) -> DataFrame:
         ids = [s.segment_id for s in self.snapshot.segments]
         if not ids:
             return self.index.spark.createDataFrame([], "row_id bigint")
-        return self.index.spark.read.parquet(*[self.index.segment_path(s, "rows") for s in ids]).select("row_id").distinct()
+        stored = self.index.spark.read.parquet(*[self.index.segment_path(s, "rows") for s in ids])
+        return self.index.without_deleted(stored, self.snapshot.tombstones).select("row_id").distinct()
 
     def num_rows(self) -> int:
+        """From the manifest, unless rows were deleted or written again since the last merge."""
+        if self.snapshot.tombstones or not self.snapshot.unique_rows:
+            return self.rows().count()
         return sum(s.rows_count for s in self.snapshot.segments)
 
     def search(self, query: Mapping[int, float], k: int, alive: DataFrame | bytes | None = None, prune: bool = False) -> DataFrame:
-        postings = self.postings([int(d) for d in query])
-        run = S.search_pruned if prune and self.index.settings.supports_pruning else S.search
-        return run(postings, query, k, alive)
+        dims = [int(d) for d in query]
+        postings = self.postings(dims)
+        # Old or deleted weights only raise the stored maxima, so the bounds stay safe.
+        stats = self.index.list_stats(self.snapshot, dims) if prune else None
+        return S.search(postings, query, k, alive) if stats is None else S.search_pruned(postings, query, k, alive, stats)
 
     def search_batch(self, queries: DataFrame, k: int, alive: DataFrame | bytes | None = None) -> DataFrame:
         return S.search_batch(self.postings(), queries, k, alive)

@@ -9,10 +9,13 @@ from sparsemill.sources.index import SparseIndex
 
 
 def commit_batch(index: SparseIndex, batch: DataFrame, batch_id: int) -> bool:
-    """Append and commit one batch; False when the manifest shows that this batch is in already (a restart repeats the last one)."""
+    """Append and commit one batch; False when the manifest shows that this batch is in already (a restart repeats the last one).
+
+    The writer's lock has the stream's name, so a stream that is restarted after a crash takes over its own lock.
+    """
     if index.snapshot().stream_batch >= batch_id:
         return False
-    with index.writer() as writer:
+    with index.writer(owner="stream") as writer:
         writer.append(batch)
         writer._batch = batch_id
         writer.commit()

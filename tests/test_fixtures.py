@@ -176,8 +176,8 @@ def test_pruning_changes_nothing(spark):
     df = spark.createDataFrame([(d, r, float(rnd.randrange(1, 50))) for d in range(6) for r in rnd.sample(range(300), 20 * (d + 1))], POST)
     for _ in range(4):
         q = {d: float(rnd.randrange(0, 9)) for d in rnd.sample(range(6), 4)}
-        for seed_rows in (5, 4096):
-            assert S.search_pruned(df, q, 7, seed_rows=seed_rows).collect() == S.search(df, q, 7).collect()
+        for stats in (None, P.dim_stats(df)):
+            assert S.search_pruned(df, q, 7, stats=stats, least_saved=0).collect() == S.search(df, q, 7).collect()
 
 
 def test_latest_value_and_live_vectors(spark):

@@ -1,10 +1,13 @@
 """Life of an index on storage."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparsemill import api
-from sparsemill.config import IndexSettings
+from sparsemill.config import IndexSettings, SettingsError
+from sparsemill.operators import search as S
 from sparsemill.operators.merge import LevelMerge, MergeAll, NoMerge
 from sparsemill.sources.index import AlreadyExists, Locked, NotFound, SparseIndex
 from sparsemill.streaming.ingest import commit_batch, ingest_stream
@@ -145,3 +148,132 @@ def test_facade(spark, tmp_path):
     api.commit(spark, path)
     assert result(api.search(path, {1: 1.0}, 5)) == [(8, 3.0), (7, 2.0)]
     assert api.close_writer(path) and not api.close_writer(path) and api.close_reader(path) and not api.close_reader(path)
+
+
+def test_deletes_and_replaced_rows(spark, tmp_path):
+    index = filled(spark, tmp_path / "i")
+    before = dict(result(index.reader().searcher().search(QUERY, 100)))
+    with index.writer(NoMerge()) as w:
+        w.delete_rows([2, 7, 99, 12345])
+        assert dict(result(index.reader().searcher().search(QUERY, 100))) == before
+        w.rollback()
+        w.delete_rows(spark.createDataFrame([(2,), (7,), (99,), (None,)], "row_id bigint"))
+        w.insert(7, {2: 3.0})
+        w.commit()
+        searcher = index.reader().searcher()
+        want = {r: s for r, s in before.items() if r not in (2, 7)} | {7: 3.0}
+        assert dict(result(searcher.search(QUERY, 100))) == want and searcher.num_rows() == 59
+        w.insert(7, {6: 1.0})
+        w.insert(8, {6: 1.0}, replace_row=True)
+        w.append(spark.createDataFrame([(9, [2], [1.5])], VECTORS), replace_row=True)
+        w.commit()
+        searcher = index.reader().searcher()
+        want |= {7: 3.0 + 2.0, 8: 2.0, 9: 1.5}
+        assert dict(result(searcher.search(QUERY, 100))) == want
+        assert searcher.row_content(9).first()["indices"] == [2] and searcher.row_content(8).first()["indices"] == [6]
+        w.compact([s.segment_id for s in index.snapshot().segments])
+        w.vacuum()
+    assert index.snapshot().tombstones == () and index.folder.list("deletes") == [] and index.snapshot().unique_rows
+    searcher = index.reader().searcher()
+    assert dict(result(searcher.search(QUERY, 100))) == want and searcher.num_rows() == 59
+
+
+def test_a_list_without_random_half_equals_its_rebuild(spark, tmp_path):
+    rows = [(r, [5], [float(r % 11)]) for r in range(0, 600, 2)]
+    gone = [r for r, _, _ in rows if hash((r, 3)) % 2]
+    index = SparseIndex.create(spark, str(tmp_path / "i"), IndexSettings(element="extended"))
+    with index.writer(NoMerge()) as w:
+        w.append(spark.createDataFrame(rows, VECTORS))
+        w.delete_rows(gone)
+        w.commit()
+        w.compact([s.segment_id for s in index.snapshot().segments])
+    left = [(r, v[0]) for r, _, v in rows if r not in set(gone)]
+    stored = spark.read.parquet(index.segment_path(index.snapshot().segments[0].segment_id)).orderBy("row_id").collect()
+    assert [(r["row_id"], r["weight"]) for r in stored] == left
+    assert [r["max_next_weight"] for r in stored] == [max((w for _, w in left[i + 1 :]), default=float("-inf")) for i in range(len(left))]
+
+
+def test_a_commit_reads_no_segment_of_other_rows(spark, tmp_path, monkeypatch):
+    index = SparseIndex.create(spark, str(tmp_path / "i"))
+    with index.writer(NoMerge()) as w:
+        w.append(spark.createDataFrame([(i, [1], [1.0]) for i in range(100)], VECTORS))
+        w.commit()
+        read = []
+        old = index.snapshot().segments[0].segment_id
+        path = SparseIndex.segment_path
+        monkeypatch.setattr(SparseIndex, "segment_path", lambda self, s, part="postings": read.append(s) or path(self, s, part))
+        w.append(spark.createDataFrame([(i, [1], [1.0]) for i in range(100, 120)], VECTORS))
+        w.commit()
+        assert old not in read and index.snapshot().unique_rows
+        w.append(spark.createDataFrame([(i, [1], [1.0]) for i in range(50, 70) if i % 2 > 5], VECTORS))
+        w.append(spark.createDataFrame([(60, [1], [4.0])], VECTORS))
+        w.commit()
+        assert old in read and not index.snapshot().unique_rows
+
+
+def test_locks_of_lost_writers_are_taken_over(spark, tmp_path):
+    index = filled(spark, tmp_path / "i")
+    lost = index.writer(NoMerge())
+    with pytest.raises(Locked):
+        index.writer()
+    lock = tmp_path / "i" / ".writer.lock"
+    held = json.loads(index.folder.read(".writer.lock"))
+    index.folder.replace(".writer.lock", json.dumps(held | {"host": "elsewhere", "until": 0}))
+    with index.writer(NoMerge()) as w:
+        w.insert(500, {2: 9.0})
+        with pytest.raises(Locked):
+            lost.commit()
+        w.commit()
+    # A stream that is started again has the same name; a process that is gone holds nothing.
+    index.writer(owner="stream")
+    index.writer(owner="stream").close()
+    index.folder.replace(".writer.lock", json.dumps(held | {"pid": 2**22 + 1}))
+    index.writer().close()
+    assert not lock.exists() and 500 in dict(result(index.reader().searcher().search(QUERY, 1)))
+
+
+def test_damage_in_any_part_is_seen(spark, tmp_path):
+    for settings, part in ((IndexSettings(quantized=True), "params"), (IndexSettings(), "rows"), (IndexSettings(element="extended"), "stats")):
+        index = filled(spark, tmp_path / part, settings)
+        segment = index.snapshot().segments[0].segment_id
+        assert index.validate_checksums() == []
+        changed = spark.read.parquet(index.segment_path(segment, part)).limit(1).collect()
+        schema = spark.read.parquet(index.segment_path(segment, part)).schema
+        spark.createDataFrame(changed, schema).write.mode("overwrite").parquet(index.segment_path(segment, part))
+        assert index.validate_checksums() == [segment]
+
+
+def test_segments_of_other_settings_are_refused(spark, tmp_path):
+    index, other = filled(spark, tmp_path / "i"), filled(spark, tmp_path / "j", IndexSettings(weight="u8"))
+    with index.writer(NoMerge()) as w:
+        with pytest.raises(SettingsError):
+            w.add_segment(other.snapshot().segments[0])
+        made = index.write_segment(w.new_segment(), spark.createDataFrame([(2, 700, 5.0, 1)], "dim_id bigint, row_id bigint, weight float, opstamp bigint"), spark.createDataFrame([(700, 1)], "row_id bigint, opstamp bigint"))
+        w.add_segment(made)
+        w.commit()
+    assert (700, 5.0) in result(index.reader().searcher().search({2: 1.0}, 100))
+
+
+def test_temporary_index_and_byte_budget(spark):
+    index = SparseIndex.create_temporary(spark)
+    with index.writer(NoMerge(), buffer_bytes=200) as w:
+        for i in range(9):
+            w.insert(i, {1: 1.0, 2: 2.0})
+        w.commit()
+    assert len(index.snapshot().segments) == 3 and index.reader().searcher().num_rows() == 9
+    index.drop()
+    assert not SparseIndex.exists(spark, index.path)
+
+
+def test_pruning_by_stored_maxima(spark, tmp_path):
+    index = SparseIndex.create(spark, str(tmp_path / "i"), IndexSettings(element="extended"))
+    with index.writer(NoMerge()) as w:
+        w.append(spark.createDataFrame([(i, [1, 2, 3], [float(i % 50), 0.5, float(i % 3)]) for i in range(300)] + [(i, [2], [0.75]) for i in range(300, 900)], VECTORS))
+        w.commit()
+    snapshot, query = index.snapshot(), {1: 2.0, 2: 1.0, 3: 0.5}
+    stats = index.list_stats(snapshot, [1, 2, 3])
+    assert {r["dim_id"]: (r["n"], r["max_w"]) for r in stats.collect()} == {1: (300, 49.0), 2: (900, 0.75), 3: (300, 2.0)}
+    postings = index.reader().searcher().postings([1, 2, 3])
+    pruned = S.search_pruned(postings, query, 6, None, stats, least_saved=1)
+    assert "LeftSemi" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert result(pruned) == result(S.search(postings, query, 6)) == result(index.reader().searcher().search(query, 6, prune=True))
