@@ -77,8 +77,9 @@ def p2_percentiles(spark, d):
 
 
 def _dims(spark, d):
-    live = live_vectors(table(spark, d, "vectors"))
-    return C.mark_useless(C.term_counts(live, "indices"), live.agg(F.count(F.lit(1)).alias("n_records")))
+    log = table(spark, d, "vectors")
+    live = live_vectors(log)
+    return C.mark_useless(C.term_counts(live, "indices", log), live.agg(F.count(F.lit(1)).alias("n_records")))
 
 
 _DIMS_SQL = f"""WITH {SQL_LIVE}, X AS (SELECT row_id, unnest(indices) AS term FROM LIVE), F AS (SELECT term, count(*) AS occurrences, count(DISTINCT row_id) AS records FROM X GROUP BY 1),
@@ -95,6 +96,17 @@ def p3_counts(spark, d):
     return _dims(spark, d).withColumnRenamed("term", "dim_id")
 
 
+@R.add(
+    """WITH X AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents WHERE text IS NOT NULL), F AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM X GROUP BY 1)
+ SELECT *, CASE WHEN records < 5 THEN 'rare' WHEN records > 0.4 * (SELECT count(*) FROM documents) THEN 'common' END AS mark FROM F"""
+)
+def p3_words(spark, d):
+    """Words of the documents, as they stand between blanks."""
+    documents = table(spark, d, "documents")
+    words = documents.select(F.split("text", " ").alias("words"))
+    return C.mark_useless(C.term_counts(words, "words"), documents.agg(F.count(F.lit(1)).alias("n_records")))
+
+
 @R.add(
     f"""WITH {SQL_LIVE}, X AS (SELECT row_id, unnest(indices) AS d, CAST(unnest(vals) AS DOUBLE) AS w FROM LIVE), E AS (SELECT * FROM X WHERE w IS NOT NULL AND NOT isnan(w)),
  N AS (SELECT row_id, sqrt(sum(w * w)) AS n FROM E GROUP BY 1), U AS (SELECT row_id, d, w / n AS w FROM E JOIN N USING (row_id) WHERE n > 0)
