@@ -22,19 +22,27 @@ def _gamma(error: float) -> float:
     return (1 + error) / (1 - error)
 
 
+def log_gamma(error: float = RELATIVE_ERROR) -> float:
+    """The logarithm of a bucket's width."""
+    return math.log(_gamma(error))
+
+
+def shift(error: float = RELATIVE_ERROR) -> int:
+    """What is added to a magnitude's bucket, so that all are positive."""
+    return math.ceil(-math.log(SMALLEST) / log_gamma(error)) + 1
+
+
 def bucket_of(value: Column, error: float = RELATIVE_ERROR) -> Column:
     """``struct(sign, i)``-like single number: i shifted so that the order of buckets is the order of values; 0 is zero."""
-    shift = math.ceil(-math.log(SMALLEST) / math.log(_gamma(error))) + 1
     size = F.least(F.greatest(F.abs(value), F.lit(SMALLEST)), F.lit(LARGEST))
-    i = F.ceil(F.log(size) / F.lit(math.log(_gamma(error)))) + F.lit(shift)
+    i = F.ceil(F.log(size) / F.lit(log_gamma(error))) + F.lit(shift(error))
     return F.when(value == 0, F.lit(0)).when(value > 0, i).otherwise(-i).cast("int")
 
 
 def value_of(bucket: Column, error: float = RELATIVE_ERROR) -> Column:
     """The representative of a bucket."""
     g = _gamma(error)
-    shift = math.ceil(-math.log(SMALLEST) / math.log(g)) + 1
-    size = F.exp((F.abs(bucket) - F.lit(shift)) * F.lit(math.log(g))) * F.lit(2 / (g + 1))
+    size = F.exp((F.abs(bucket) - F.lit(shift(error))) * F.lit(log_gamma(error))) * F.lit(2 / (g + 1))
     return F.when(bucket == 0, F.lit(0.0)).otherwise(F.signum(bucket.cast("double")) * size)
 
 

@@ -76,6 +76,15 @@ def p2_percentiles(spark, d):
     return _long_tails(spark, d)
 
 
+_BUCKET = f"""CAST(CASE WHEN {{v}} = 0 THEN 0 ELSE sign({{v}}) * (ceil(ln(least(greatest(abs(CAST({{v}} AS DOUBLE)), {Q.SMALLEST}), {Q.LARGEST})) / {Q.log_gamma()!r}::DOUBLE) + {Q.shift()}) END AS INTEGER)"""
+
+
+@R.add(_TAILS_SQL + f"SELECT segment_id, dim_id, {_BUCKET.format(v='p50')} AS p50_bucket, {_BUCKET.format(v='p95')} AS p95_bucket FROM P")
+def p2_percentile_buckets(spark, d):
+    """The buckets of the percentiles: those that the exact percentiles fall into."""
+    return _long_tails(spark, d).select("segment_id", "dim_id", *[Q.bucket_of(F.col(p)).alias(f"{p}_bucket") for p in _PERCENTILES])
+
+
 def _dims(spark, d):
     log = table(spark, d, "vectors")
     live = live_vectors(log)
