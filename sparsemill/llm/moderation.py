@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -203,6 +204,20 @@ class _Places:
         return False
 
 
+class _Memory(dict):
+    """Remembers what tokens stand for, up to CACHE_ENTRIES of them."""
+
+    def __init__(self, make):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, token: str):
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        found = self[token] = self._make(token)
+        return found
+
+
 class Scorer:
     """Finds evidence in the words of a page."""
 
@@ -213,16 +228,19 @@ class Scorer:
                 if "-" not in w:
                     self._classes[w] = (*self._classes.get(w, ()), name)
         self._trie = Trie(sorted(self._classes))
-        self._memory: dict[str, tuple[str, ...]] = {}
+        self._memory = _Memory(self._hits)
 
     def lookup(self, token: str) -> tuple[str, ...]:
         """Lexicon words that the token may stand for."""
-        found = self._memory.get(token)
-        if found is None:
-            if len(self._memory) >= CACHE_ENTRIES:
-                self._memory.clear()
-            found = self._memory[token] = self._find(token)
-        return found
+        return tuple(w for w, _ in self._memory[token])
+
+    def _hits(self, token: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """Lexicon words that the token may stand for, and their classes; what decides alone has to be the word itself."""
+        out = []
+        for w in self._find(token.lower()):
+            sure = _MASK.search(token) or fold(token) == fold(w)
+            out.append((w, self._classes[w] if sure else tuple(c for c in self._classes[w] if c not in ("EXPLICIT", "SLURS"))))
+        return tuple(out)
 
     def _find(self, token: str) -> tuple[str, ...]:
         if _MASK.search(token):
@@ -250,13 +268,11 @@ class Scorer:
         tokens = _TOKENS.findall(joined)
         by_class: dict[str, list[int]] = {}
         words: dict[int, str] = {}
+        memory = self._memory
         for i, t in enumerate(tokens):
-            for w in self.lookup(t.lower()):
+            for w, names in memory[t]:
                 words.setdefault(i, w)
-                for name in self._classes[w]:
-                    if name in ("EXPLICIT", "SLURS") and not _MASK.search(t) and fold(t) != fold(w):
-                        # What decides alone has to be the word itself.
-                        continue
+                for name in names:
                     at = by_class.setdefault(name, [])
                     if not at or at[-1] != i:
                         at.append(i)
@@ -412,8 +428,14 @@ def page_scores(documents: DataFrame) -> DataFrame:
     return map_arrow(spread_small(pages), _score_batches, "doc_id bigint, source string, abuse double, hate double, sexual double, quoted double, score double")
 
 
+@lru_cache(maxsize=1)
+def worker_scorer() -> Scorer:
+    """The scorer of this worker process, with its memory, for all tasks it runs."""
+    return Scorer()
+
+
 def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer()
+    scorer = worker_scorer()
     for batch in batches:
         rows: list[list[float]] = []
         for text, columns, (x0, x1, y0) in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), page_rows(batch, 4), strict=True):

@@ -12,6 +12,7 @@ import base64
 import os
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,12 @@ class _Memory(dict):
         return value
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(vocabulary: str) -> Encoder:
+    """The encoder of this worker process, with its memory, for all tasks it runs."""
+    return Encoder(vocabulary)
+
+
 def encode_texts(df: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(id, ids array<int>)``, one row per input row and no shuffle. Empty and null texts give an empty list; names of special tokens
     are ordinary text; nothing is normalised or cut off.
@@ -148,7 +155,7 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text: str = "text", v
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
             packed = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
