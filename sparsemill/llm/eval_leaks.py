@@ -328,28 +328,10 @@ def _extend(text: str, starts: list[int], heads: dict[str, list[int]], item: str
         ends = [line] if starts[line + 1] - q <= 3 else []
         if q - starts[line] <= STRAY and line:
             ends.append(line - 1)
-        best = None
-        for end in ends:
-            slack = starts[end + 1] - q
-            for later in range(end + 2, min(end + 2 + SKIP_LINES, len(starts) - 1)):
-                at = starts[later]
-                for shift in range(min(slack, 0) - 2, max(slack, 0) + 3):
-                    r = p + shift
-                    if 0 <= r < len(item) - 2 and text.startswith(item[r : r + 6], at):
-                        wrong: list[int] = []
-                        gain, _ = _follow(item, r, text, at, wrong, [])
-                        value = gain - 2 * len(wrong)
-                        if gain > p and gain - r >= min(8, len(item) - r) and len(wrong) * 4 <= gain - r and (best is None or value > best[0]):
-                            best = (value, r, at)
-                if best:
-                    break
-            if best:
-                break
-        if not best:
-            best = _far(text, starts, heads, item, p, q, ends)
+        best = _onward(text, starts, heads, item, p, q, ends)
         if not best:
             return p
-        p, q = best[1], best[2]
+        p, q = best
         while anchors and anchors[-1][0] >= p:
             anchors.pop()
         errors[:] = [x for x in errors if x < p]
@@ -363,26 +345,36 @@ def _heads(text: str, starts: list[int]) -> dict[str, list[int]]:
     return out
 
 
-def _far(text: str, starts: list[int], heads: dict[str, list[int]], item: str, p: int, q: int, ends: list[int]) -> tuple[int, int, int] | None:
-    """Where the passage goes on beyond SKIP_LINES lines, however many: at the line that follows the item longest, by FAR_LETTERS at least."""
-    best = None
+def _onward(text: str, starts: list[int], heads: dict[str, list[int]], item: str, p: int, q: int, ends: list[int]) -> tuple[int, int] | None:
+    """Where the passage goes on: at the next of SKIP_LINES lines that follows the item for a few letters, else at the line, however many lies
+    between, that follows it longest, by FAR_LETTERS at least.
+    """
+    near: tuple[int, int, int] | None = None
+    far: tuple[int, int, int] | None = None
     for end in ends:
-        slack = starts[end + 1] - q
-        first = end + 2 + SKIP_LINES
-        if first >= len(starts) - 1:
+        if end + 2 >= len(starts) - 1:
             continue
-        for shift in range(min(slack, 0) - 2, max(slack, 0) + 3):
-            r = p + shift
-            if not 0 <= r <= len(item) - FAR_LETTERS:
+        slack, first, limit = starts[end + 1] - q, starts[end + 2], starts[min(end + 2 + SKIP_LINES, len(starts) - 1)]
+        for r in range(max(p + min(slack, 0) - 2, 0), min(p + max(slack, 0) + 3, len(item) - 5)):
+            places = heads.get(item[r : r + 6])
+            if not places or places[-1] < first:
                 continue
-            places = heads.get(item[r : r + 6], ())
-            for at in places[bisect_left(places, starts[first]) :]:
+            for at in places[bisect_left(places, first) :]:
+                if at < limit and near is not None and at > -near[0]:
+                    continue
                 wrong: list[int] = []
                 gain, _ = _follow(item, r, text, at, wrong, [])
-                value = gain - 2 * len(wrong)
-                if gain > p and gain - r >= FAR_LETTERS and len(wrong) * 10 <= gain - r and (best is None or value > best[0]):
-                    best = (value, r, at)
-    return best
+                value, length = gain - 2 * len(wrong), gain - r
+                if gain <= p:
+                    continue
+                if at < limit:
+                    if length >= min(8, len(item) - r) and len(wrong) * 4 <= length and (near is None or (-at, value) > near[:2]):
+                        near = (-at, value, r)
+                elif length >= FAR_LETTERS and len(wrong) * 10 <= length and (far is None or value > far[0]):
+                    far = (value, r, at)
+        if near is not None:
+            return near[2], -near[0]
+    return far[1:] if far else None
 
 
 def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:

@@ -20,7 +20,7 @@ from sparsemill.operators.ingest_log import latest_value
 PER_OCTAVE = 8
 EXPONENT = 64
 #: Groups that get a threshold, the largest ones: what is broadcast, some dozen bytes each.
-MOST_GROUPS = 200_000
+MOST_GROUPS = 50_000
 
 
 def score_bucket(score: Column) -> Column:
