@@ -1,10 +1,10 @@
-"""Path-keyed facade: create, insert, commit, load, search."""
+"""Path-keyed facade: create, insert, delete, commit, load, search."""
 
 from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +41,17 @@ def _writer(spark: SparkSession, path: str) -> IndexWriter:
     return _writers[_key(path)]
 
 
-def insert(spark: SparkSession, path: str, row_id: int, vector: Mapping[int, float]) -> int:
-    return _writer(spark, path).insert(row_id, vector)
+def insert(spark: SparkSession, path: str, row_id: int, vector: Mapping[int, float], replace_row: bool = False) -> int:
+    return _writer(spark, path).insert(row_id, vector, replace_row)
 
 
-def insert_df(spark: SparkSession, path: str, vectors: DataFrame) -> int:
-    return _writer(spark, path).append(vectors)
+def insert_df(spark: SparkSession, path: str, vectors: DataFrame, replace_row: bool = False) -> int:
+    return _writer(spark, path).append(vectors, replace_row=replace_row)
+
+
+def delete(spark: SparkSession, path: str, rows: DataFrame | Iterable[int]) -> int:
+    """Delete rows by id; seen after the next commit."""
+    return _writer(spark, path).delete_rows(rows)
 
 
 def commit(spark: SparkSession, path: str) -> int:

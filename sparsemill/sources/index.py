@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsemill.config import IndexSettings
+from sparsemill.functions.weights import lowest_weight
 from sparsemill.operators import postings as P
 from sparsemill.session import broadcast_if_small, ensure_checkpoint_dir
 from sparsemill.sources.filesystem import Folder
@@ -173,7 +174,7 @@ class SparseIndex:
             stored = self.spark.read.parquet(self.segment_path(segment_id, "params"))
             data = P.quantize_postings(data, stored).select("dim_id", "row_id", "code", "opstamp")
         elif self.settings.element == "extended":
-            data = P.with_suffix_max(data, 0.0 if self.settings.weight == "u8" else float("-inf"))
+            data = P.with_suffix_max(data, lowest_weight(self.settings.weight))
         data = data.persist(StorageLevel.DISK_ONLY)  # sampled for its ranges, then written
         writer = data.repartitionByRange("dim_id", "row_id").sortWithinPartitions("dim_id", "row_id").write.mode("overwrite")
         writer.options(**self.settings.writer_options()).parquet(self.segment_path(segment_id))

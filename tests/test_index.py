@@ -9,6 +9,7 @@ from sparsemill import api
 from sparsemill.config import IndexSettings, SettingsError
 from sparsemill.operators import search as S
 from sparsemill.operators.merge import LevelMerge, MergeAll, NoMerge
+from sparsemill.sources.reader import IndexReader
 from sparsemill.sources.index import AlreadyExists, Locked, NotFound, SparseIndex
 from sparsemill.streaming.ingest import commit_batch, ingest_stream
 
@@ -106,6 +107,24 @@ def test_delete_all_and_snapshots(spark, tmp_path):
     assert manual.searcher().generation == old.generation and manual.reload().generation == old.generation + 1
 
 
+def test_a_warmed_reader(spark, tmp_path):
+    index, seen = filled(spark, tmp_path / "i"), []
+    reader = IndexReader(index, reload_on_commit=True, warmer=lambda searcher: seen.append(searcher.warm().generation))
+    first = reader.searcher()
+    with index.writer(NoMerge()) as w:
+        w.insert(5, {2: 90.0})
+        w.commit()
+    assert result(reader.searcher().search(QUERY, 1)) == [(5, 94.0)] and len(seen) == 2 and seen[1] == seen[0] + 1
+    assert first._cached is None
+
+
+def test_suffix_maxima_end_with_the_lowest_weight(spark, tmp_path):
+    for weight, lowest in (("f32", float("-inf")), ("u8", 0.0)):
+        index = filled(spark, tmp_path / weight, IndexSettings(weight=weight, element="extended"))
+        paths = [index.segment_path(s.segment_id) for s in index.snapshot().segments]
+        assert spark.read.parquet(*paths).agg(F.min("max_next_weight")).first()[0] == lowest
+
+
 def test_merge_after_commit(spark, tmp_path):
     index = filled(spark, tmp_path / "i", policy=MergeAll())
     assert len(index.snapshot().segments) == 1
@@ -147,6 +166,10 @@ def test_facade(spark, tmp_path):
     api.load_reader(spark, path)
     api.commit(spark, path)
     assert result(api.search(path, {1: 1.0}, 5)) == [(8, 3.0), (7, 2.0)]
+    api.delete(spark, path, [8])
+    api.insert(spark, path, 7, {2: 1.0}, replace_row=True)
+    api.commit(spark, path)
+    assert result(api.search(path, {1: 1.0, 2: 1.0}, 5)) == [(7, 1.0)]
     assert api.close_writer(path) and not api.close_writer(path) and api.close_reader(path) and not api.close_reader(path)
 
 
