@@ -167,7 +167,9 @@ class SparseIndex:
 
         Range partitioning by dim_id keeps a list together for the scan; a hot dim is cut by row_id, as both are range keys.
         """
-        data = postings.select("dim_id", "row_id", "weight", "opstamp")
+        # All segments have the same types, as they are read together.
+        data = postings.select(*[F.col(c).cast(t).alias(c) for c, t in (("dim_id", "bigint"), ("row_id", "bigint"), ("weight", "float"), ("opstamp", "bigint"))])
+        rows = rows.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("opstamp").cast("bigint").alias("opstamp"))
         if self.settings.quantized:
             params = P.quant_params(data)
             params.write.mode("overwrite").parquet(self.segment_path(segment_id, "params"))
@@ -180,7 +182,7 @@ class SparseIndex:
         writer.options(**self.settings.writer_options()).parquet(self.segment_path(segment_id))
         data.unpersist()
         # Sorted, so that a later commit's check for its rows reads few row groups.
-        rows.select("row_id", "opstamp").repartitionByRange("row_id").sortWithinPartitions("row_id").write.mode("overwrite").parquet(self.segment_path(segment_id, "rows"))
+        rows.repartitionByRange("row_id").sortWithinPartitions("row_id").write.mode("overwrite").parquet(self.segment_path(segment_id, "rows"))
         counted = self.spark.read.parquet(self.segment_path(segment_id, "rows")).agg(
             F.count(F.lit(1)).alias("n"), F.min("opstamp").alias("lo"), F.max("opstamp").alias("hi"), F.min("row_id").alias("first"), F.max("row_id").alias("last"),
             F.bit_xor(F.xxhash64("opstamp", "row_id")).alias("x"),
@@ -222,6 +224,7 @@ class SparseIndex:
     def write_deletes(self, rows: DataFrame) -> Deletes | None:
         """Store ``rows(row_id, opstamp)``; null ids delete nothing."""
         delete_id = str(uuid.uuid4())
+        rows = rows.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("opstamp").cast("bigint").alias("opstamp"))
         newest = rows.where(F.col("row_id").isNotNull()).groupBy("row_id").agg(F.max("opstamp").alias("opstamp"))
         newest.write.mode("overwrite").parquet(f"{self.path}/deletes/{delete_id}")
         n = self.spark.read.parquet(f"{self.path}/deletes/{delete_id}").count()

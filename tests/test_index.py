@@ -114,7 +114,7 @@ def test_a_warmed_reader(spark, tmp_path):
     with index.writer(NoMerge()) as w:
         w.insert(5, {2: 90.0})
         w.commit()
-    assert result(reader.searcher().search(QUERY, 1)) == [(5, 94.0)] and len(seen) == 2 and seen[1] == seen[0] + 1
+    assert result(reader.searcher().search(QUERY, 1)) == [(5, 90.0)] and len(seen) == 2 and seen[1] == seen[0] + 1
     assert first._cached is None
 
 
