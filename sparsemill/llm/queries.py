@@ -133,6 +133,17 @@ def p4_neighbours(spark, d):
     return N.similar_vectors(live_vectors(log), least=None, log=log.where(is_valid(F.col("indices"), F.col("vals"))))
 
 
+@R.add(
+    f"""WITH {SQL_LIVE}, X AS (SELECT row_id, unnest(indices) AS d, CAST(unnest(vals) AS DOUBLE) AS w FROM LIVE), E AS (SELECT * FROM X WHERE w IS NOT NULL AND NOT isnan(w)),
+ N AS (SELECT row_id, sqrt(sum(w * w)) AS n FROM E GROUP BY 1), U AS (SELECT row_id, d, w / n AS w FROM E JOIN N USING (row_id) WHERE n > 0),
+ C AS (SELECT a.row_id, b.row_id AS neighbour, round(sum(a.w * b.w), 9) AS cosine FROM U a JOIN U b ON a.d = b.d AND a.row_id <> b.row_id WHERE a.row_id % 100 = 0 GROUP BY 1, 2)
+ SELECT row_id, neighbour, CAST(row_number() OVER (PARTITION BY row_id ORDER BY cosine DESC, neighbour) AS INTEGER) AS rank FROM C QUALIFY rank <= 10"""
+)
+def p4_neighbours_of_hundredths(spark, d):
+    """The lists of ids divisible by 100 out of the search of all, against all pairs that share a dim."""
+    return p4_neighbours(spark, d).where(F.col("row_id") % 100 == 0).select("row_id", "neighbour", "rank")
+
+
 @R.add()
 def p6_ids(spark, d):
     return encode_texts(table(spark, d, "documents"))
