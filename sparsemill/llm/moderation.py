@@ -128,7 +128,7 @@ class Trie:
 
 
 #: Words of the grammar around the lexicon's, compared literally.
-_YOU = frozenset("you your yourself yourselves ye thou thee thy thine du dich dir dein deine deinen deinem deiner ihr euch euer tu te toi ton ta tes vous votre vos".split())
+_YOU = frozenset("espèce you your yourself yourselves ye thou thee thy thine du dich dir dein deine deinen deinem deiner ihr euch euer tu te toi ton ta tes vous votre vos".split())
 _POINT = frozenset("you ye thou du tu ihr vous such that this what espèce toi bloody du sie dieser diese dieses".split())
 _WISH = frozenset("hope may go let wish should ought shall will can va allez soll sollst geh fahr que puisses could to donc doch".split())
 _SELF = frozenset("i we ich wir je nous somebody someone man on".split())
@@ -140,6 +140,12 @@ _THEM = frozenset("""they them their theirs these those who whom all every every
  gens peuple peuples race races tous étrangers""".split())
 _PLURAL = frozenset("they them their theirs sie ihnen ihre ils elles les leur leurs eux".split())
 _ALL = frozenset("all every both lot alle sie allesamt sämtliche les tous toutes".split())
+#: What is offered as a cure for a people, and what they are to be refused.
+_CURE = frozenset("cure remedy solution heilmittel mittel lösung remède solution".split())
+_ONLY = frozenset("one only but single sole nur einziges ein seul unique".split())
+_REFUSE = frozenset("let sell rent lend serve give hire employ admit lodge vermieten vermietet verkauft louer vendre servir".split())
+_SHELTER = frozenset("bed beds bread house houses job land lodging lodgings roof room rooms shop shops work arbeit brot haus land zimmer chambre lit logement maison travail".split())
+_INTO = frozenset("into inside in en dans".split())
 _FORBIDDEN = frozenset("forbid forbidden prevented stopped verboten untersagt interdit interdire empêcher".split())
 _THE = frozenset("the these those all every any of no for to die der den diese alle les ces ce des aux tous".split())
 _IS = frozenset("are is be was were been than like nothing mere sind ist seid sein wie nichts sont est être comme".split())
@@ -173,6 +179,9 @@ _CLASSES = {
 _ANCHORS = ("INSULTS", "FIGURES", "VIOLENCE", "KILLING", "CURSES", "SILENCE", "DEHUMANIZING", "HARM", "REMOVAL", "INFERIOR", "RACE", "NOTHING", "LIVING", "BODY", "FLESH", "AROUSAL", "SPREAD", "SPENT", "EXPLICIT", "SLURS")
 
 
+_HATEFUL = frozenset(("DEHUMANIZING", "HARM", "REMOVAL", "LIVING"))
+
+
 class _Places:
     """Sorted places of each class on a page, and of the words around them."""
 
@@ -342,7 +351,7 @@ class Scorer:
                 yield i, "hate", 0.9
         for i in p.by_class.get("REMOVAL", ()):
             if p.word(_MUST, i - 6, i - 1) >= 0 and p.people(i - FAR, i + 3):
-                aimed = p.word(_LIKE, i + 1, i + 4) >= 0 or p.word(_PLACES, i + 1, i + 5) >= 0
+                aimed = p.people(i - 7, i - 1) and (p.word(_LIKE, i + 1, i + 4) >= 0 or p.word(_PLACES, i + 1, i + 5) >= 0)
                 yield i, "hate", 0.9 if aimed else 0.6 if p.word(_PLURAL, i - 6, i + 4) >= 0 else 0.4
         for i in p.by_class.get("KILLING", ()):
             # A call: the verb, then at once whom it is for.
@@ -350,6 +359,13 @@ class Scorer:
                 yield i, "hate", 0.9
         for i in p.by_class.get("SLURS", ()):
             yield i, "hate", 0.9
+        if p.by_class.keys() & _HATEFUL:
+            for i, w in enumerate(p.lower):
+                # Beside other evidence on the page only, as these words are common.
+                if w in _CURE and p.word(_ONLY, i - 3, i - 1) >= 0 and p.people(i + 1, i + 5):
+                    yield i, "hate", 0.6
+                elif w in _REFUSE and p.word(L.NEVER, i - 3, i - 1) >= 0 and p.word(_SHELTER, i + 1, i + 7) >= 0 and p.people(i + 2, i + 12):
+                    yield i, "hate", 0.6
         for i in p.by_class.get("INFERIOR", ()):
             if p.any("RACE", i - 1, i + 2, i) and p.people(i - FAR, i + 4):
                 yield i, "hate", 0.6
@@ -376,6 +392,9 @@ class Scorer:
         for i in p.by_class.get("AROUSAL", ()):
             if p.any("ACTS", i - 10, i + 10, i) or p.any("AROUSAL", i - NEAR, i + NEAR, i) or p.any("NAKED", i - FAR, i + FAR, i):
                 yield i, "sexual", 0.9
+        for i in p.by_class.get("ACTS", ()):
+            if p.word(_INTO, i + 1, i + 1) >= 0 and p.word(_HIS, i + 2, i + 2) >= 0:
+                yield i, "sexual", 0.5
         for i in p.by_class.get("SPREAD", ()):
             if p.any("LEGS", i + 1, i + NEAR, i):
                 yield i, "sexual", 0.9
