@@ -18,6 +18,7 @@ from sparsemill.operators import heavy_keys as H
 from sparsemill.operators import merge as M
 from sparsemill.operators import postings as P
 from sparsemill.operators import search as S
+from sparsemill.operators.best_match import best_matches
 from sparsemill.operators.ingest_log import has_value, latest_value, live_vectors
 from sparsemill.plans.registry import Registry
 from sparsemill.session import table
@@ -188,10 +189,13 @@ def partial_topk_combine(spark, d):
  WHERE q.row_id % 100 = 0 AND p.row_id <> q.row_id GROUP BY 1, 2) SELECT query_id, max(score) AS best FROM S WHERE score > 0 GROUP BY 1"""
 )
 def search_live_vectors(spark, d):
-    p = P.build_postings(live_vectors(table(spark, d, "vectors")), check=False)
-    q = p.where(F.col("row_id") % 100 == 0).select(F.col("row_id").alias("query_id"), "dim_id", F.col("weight").alias("qw"))
-    found = S.search_batch(p, q, 2).where(F.col("row_id") != F.col("query_id"))
-    return found.groupBy("query_id").agg(F.round(F.max("score"), 3).alias("best"))
+    log = table(spark, d, "vectors")
+    live = live_vectors(log)
+    q = P.build_postings(live_vectors(log.where(F.col("row_id") % 100 == 0)), check=False)
+    q = q.select(F.col("row_id").alias("query_id"), "dim_id", F.col("weight").alias("qw"))
+    valid = log.where(F.col("row_id").isNotNull() & V.is_valid(F.col("indices"), F.col("vals")))
+    found = best_matches(live, P.build_postings(live, check=False), q, P.build_postings(valid, check=False))
+    return found.select("query_id", F.round("best", 3).alias("best")).where(F.col("best") > 0)
 
 
 @R.add(
