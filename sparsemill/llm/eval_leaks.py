@@ -17,10 +17,10 @@ import re
 import unicodedata
 import uuid
 from bisect import bisect_left, bisect_right
-from collections import Counter, deque
-from collections.abc import Iterator, Sequence
-from functools import cached_property
-from itertools import accumulate
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property, lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,10 @@ ALIKE, SHINGLE = 0.6, 3
 STRAY = 24
 #: Words whose vectors are held at once.
 PIECE = 20_000
+#: Letters of the pages that are looked up together; a longer page is looked up by itself, in pieces.
+GROUP = 120_000
+#: Pairs of windows compared at once.
+PAIRS = 500_000
 #: Letters of items handled by one pass over the corpus (all items are counted first); more items take more passes, so what the driver and a
 #: worker hold stays bounded.
 ITEM_LETTERS = 10_000_000
@@ -97,7 +101,16 @@ class _Folding(dict):
         return self[code]
 
 
+class _Widths(dict):
+    """How many letters a character is folded to."""
+
+    def __missing__(self, c: str) -> int:
+        n = self[c] = sum(x not in " \n\x01" for x in FOLD[ord(c)])
+        return n
+
+
 FOLD = _Folding()
+_WIDTHS = _Widths()
 _WORDS = re.compile(r"[^\s]+")
 _PLAIN = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("['’‘`´]")
@@ -133,11 +146,21 @@ def letter_cost(one: str, two: str) -> float:
     return cost[n][m]
 
 
+@lru_cache(maxsize=10_000)
 def shingle_similarity(one: str, two: str) -> float:
     """Weighted Jaccard similarity of the letter shingles of two windows."""
-    a, b = (Counter(x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)) for x in (one, two))
-    union = (a | b).total()
-    return (a & b).total() / union if union else float(one == two)
+    if one == two:
+        return 1.0
+    left: dict[str, int] = {}
+    for i in range(len(one) - SHINGLE + 1):
+        left[one[i : i + SHINGLE]] = left.get(one[i : i + SHINGLE], 0) + 1
+    common = 0
+    for i in range(len(two) - SHINGLE + 1):
+        if n := left.get(two[i : i + SHINGLE], 0):
+            left[two[i : i + SHINGLE]] = n - 1
+            common += 1
+    union = max(len(one) - SHINGLE + 1, 0) + max(len(two) - SHINGLE + 1, 0) - common
+    return common / union if union else 0.0
 
 
 class _Numbers(dict):
@@ -156,20 +179,61 @@ class _Numbers(dict):
         return n
 
 
+class _Tokens(dict):
+    """Numbers of the words that a token as printed (anything between blanks) folds to; long tokens are not kept."""
+
+    LONGEST = 40
+
+    def __init__(self, known: _Numbers) -> None:
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        numbers = tuple(map(self.known.__getitem__, fold(token).replace(_JOIN, "").split()))
+        if len(token) <= self.LONGEST:
+            self[token] = numbers
+        return numbers
+
+
 class Words:
     """±weight vectors of words; starts anew when the vocabulary grows large."""
 
     LIMIT = 300_000
 
     def __init__(self) -> None:
+        self._start_anew()
+
+    def _start_anew(self) -> None:
         self._known = _Numbers()
+        self._tokens = _Tokens(self._known)
 
     def vectors(self, words: Sequence[str]) -> np.ndarray:
         if len(self._known) > self.LIMIT:
-            self._known = _Numbers()
+            self._start_anew()
         numbers = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
         return self._known.vectors[numbers]
 
+    @staticmethod
+    def _signs(vectors: np.ndarray) -> np.ndarray:
+        sums = vectors[: len(vectors) - WINDOW + 1].copy()
+        for k in range(1, WINDOW):
+            sums += vectors[k : len(vectors) - WINDOW + 1 + k]
+        return np.packbits(sums.ravel() > 0).view(np.uint64)
+
+    def group_fingerprints(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window over the words of all texts one after the other, also where two texts meet; the place where each text's words end.
+        For texts of GROUP letters together.
+        """
+        if max(len(self._known), len(self._tokens)) > self.LIMIT:
+            self._start_anew()
+        each = [np.fromiter(chain.from_iterable(map(self._tokens.__getitem__, text.split())), np.int64) for text in texts]
+        ends = np.cumsum([len(x) for x in each], dtype=np.int64)
+        numbers = np.concatenate(each)
+        if len(numbers) < WINDOW:
+            return np.empty(0, np.uint64), ends
+        pieces = range(0, len(numbers) - WINDOW + 1, PIECE - WINDOW + 1)
+        return np.concatenate([self._signs(self._known.vectors[numbers[i : i + PIECE]]) for i in pieces]), ends
+
     def fingerprints(self, words: Sequence[str]) -> np.ndarray:
         """Of each window of WINDOW words; none for shorter lists. Long lists are taken in pieces."""
         if len(words) < WINDOW:
@@ -177,10 +241,7 @@ class Words:
         if len(words) > PIECE:
             step = PIECE - WINDOW + 1
             return np.concatenate([self.fingerprints(words[i : i + PIECE]) for i in range(0, len(words) - WINDOW + 1, step)])
-        total = np.cumsum(self.vectors(words), axis=0, dtype=np.int32)
-        sums = total[WINDOW - 1 :].copy()
-        sums[1:] -= total[:-WINDOW]
-        return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
+        return self._signs(self.vectors(words))
 
 
 class ItemIndex:
@@ -222,22 +283,29 @@ class ItemIndex:
             has = np.flatnonzero(n)
             if not len(has):
                 continue
-            n = n[has]
-            window = np.repeat(has, n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[has], n)
-            item = self._order[b][at]
-            ok = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-            found_w.append(window[ok])
-            found_i.append(item[ok])
+            sums = np.cumsum(n[has])
+            cuts = np.searchsorted(sums, np.arange(PAIRS, sums[-1], PAIRS))
+            for some in np.split(has, np.unique(cuts)):
+                each = n[some]
+                window = np.repeat(some, each)
+                at = np.arange(len(window)) + np.repeat(first[some] - np.cumsum(each) + each, each)
+                item = self._order[b][at]
+                ok = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+                found_w.append(window[ok])
+                found_i.append(item[ok])
         if not found_w:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(found_w), np.concatenate(found_i)]), axis=1)
-        return both[0], both[1]
+        both = np.unique(np.concatenate(found_w) * len(self.prints) + np.concatenate(found_i))
+        return np.divmod(both, len(self.prints))
 
 
 #: How far the two texts may shift against each other at a misread letter, cheapest first: letters of the item, letters of the page.
 _SHIFTS = [(1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1), (0, 2), (2, 0), (3, 3), (2, 3), (3, 2), (1, 3), (3, 1), (0, 3), (3, 0), (4, 4)]
 
+_OFFSETS = range(max(map(max, _SHIFTS)) + 1)
+#: Letters that a shift looks at; letters compared at once.
+REACH, STEP = _OFFSETS[-1] + RESUME, 16
+
 
 def _follow(item: str, p: int, page: str, q: int, errors: list[int], anchors: list[tuple[int, int]]) -> tuple[int, int]:
     """Furthest (p, q) up to which the texts agree, misread letters aside. ``errors`` gets the item's places that disagree, ``anchors`` the
@@ -247,51 +315,94 @@ def _follow(item: str, p: int, page: str, q: int, errors: list[int], anchors: li
     recent: list[int] = []
     anchors.append((p, q))
     while p < n and q < m:
-        if item[p] == page[q]:
-            p += 1
-            q += 1
+        ours, theirs = item[p : p + STEP], page[q : q + STEP]
+        if ours == theirs:
+            p += len(ours)
+            q += len(ours)
             continue
+        same = 0
+        for x, y in zip(ours, theirs):
+            if x != y:
+                break
+            same += 1
+        p += same
+        q += same
+        if p >= n or q >= m:
+            break
         recent = [x for x in recent if p - x < DENSE_LETTERS]
         if len(recent) >= DENSE_ERRORS:
             break
-        for a, b in _SHIFTS:
-            rest = item[p + a : p + a + RESUME]
-            tail = page[q + b : q + b + RESUME]
-            if (len(rest) >= 2 and page.startswith(rest, q + b)) or (2 <= len(tail) < RESUME and item.startswith(tail, p + a)):
-                errors.extend(range(p, p + max(a, b)))
-                recent.append(p)
-                p += a
-                q += b
-                anchors.append((p, q))
-                break
-        else:
+        shift = _shift(item[p : p + REACH], page[q : q + REACH])
+        if shift is None:
             break
+        a, b = shift
+        errors.extend(range(p, p + max(a, b)))
+        recent.append(p)
+        p += a
+        q += b
+        anchors.append((p, q))
     return p, q
 
 
+def _shift(ours: str, theirs: str) -> tuple[int, int] | None:
+    """The cheapest shift after which both texts, cut to REACH letters, go on alike for RESUME letters, or to the end of one of them."""
+    if len(ours) == len(theirs) == REACH:
+        one = [ours[k : k + RESUME] for k in _OFFSETS]
+        two = [theirs[k : k + RESUME] for k in _OFFSETS]
+        for a, b in _SHIFTS:
+            if one[a] == two[b]:
+                return a, b
+        return None
+    for a, b in _SHIFTS:
+        rest, tail = ours[a : a + RESUME], theirs[b : b + RESUME]
+        if (len(rest) >= 2 and theirs.startswith(rest, b)) or (2 <= len(tail) < RESUME and ours.startswith(tail, a)):
+            return a, b
+    return None
+
+
 class Page:
     """A page's reading as one string of folded letters, with the places of its lines and words."""
 
     def __init__(self, lines: Sequence[str]):
         self.raw = _BROKEN.sub(_JOIN, "\n".join(lines))
-        marked = self.raw.translate(FOLD)
-        self.words = marked.replace(_JOIN, "").split()
-        self.start = [0, *accumulate(map(len, self.words))]
-        self.text = "".join(self.words)
-        parts = marked.replace(" ", "").replace(_JOIN, "\n").split("\n")
-        self.line_start = [0, *accumulate(map(len, parts))]
         #: Filled where a passage is followed.
         self.heads: dict[str, list[int]] = {}
 
+    # Most pages have no window of an item and need none of these.
+    @cached_property
+    def _marked(self) -> str:
+        return fold(self.raw)
+
+    @cached_property
+    def words(self) -> list[str]:
+        return self._marked.replace(_JOIN, "").split()
+
+    @cached_property
+    def start(self) -> list[int]:
+        return [0, *accumulate(map(len, self.words))]
+
+    @cached_property
+    def text(self) -> str:
+        return "".join(self.words)
+
+    @cached_property
+    def line_start(self) -> list[int]:
+        parts = self._marked.replace(" ", "").replace(_JOIN, "\n").split("\n")
+        return [0, *accumulate(map(len, parts))]
+
     @cached_property
-    def origin(self) -> list[int]:
-        """For each folded letter the place of the character it comes from."""
-        return [i for i, c in enumerate(self.raw) for x in FOLD[ord(c)] if x not in " \n\x01"]
+    def _before(self) -> list[int]:
+        """For each character the number of folded letters before it."""
+        return [0, *accumulate(map(_WIDTHS.__getitem__, self.raw))]
+
+    def origin(self, at: int) -> int:
+        """The place of the character that a folded letter comes from."""
+        return bisect_right(self._before, at) - 1
 
     def printed(self, first: int, last: int) -> str:
         """The letters as printed behind the folded ones [first, last)."""
         first, last = max(first, 0), min(last, len(self.text))
-        return letters(self.raw[self.origin[first] : self.origin[last - 1] + 1]) if first < last else ""
+        return letters(self.raw[self.origin(first) : self.origin(last - 1) + 1]) if first < last else ""
 
 
 class _Run:
@@ -379,17 +490,58 @@ def _onward(text: str, starts: list[int], heads: dict[str, list[int]], item: str
 
 def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:
     """Items (numbers in the index) and the most words of a run on this page, for runs of at least MIN_WORDS."""
-    prints = words.fingerprints(page.words)
-    if not len(prints):
-        return {}
+    return _leaked_from(page, index, *index.near(words.fingerprints(page.words)))
+
+
+def leaked_all(pages: Iterable[tuple[int, Page]], index: ItemIndex, words: Words) -> dict[int, dict[int, int]]:
+    """``leaked`` of many pages, looked up GROUP letters at a time, by the number each page comes with; the most words of a number's pages."""
+    out: dict[int, dict[int, int]] = {}
+    for group in _groups(pages):
+        for number, found in _leaked_group(group, index, words):
+            best = out.setdefault(number, {})
+            for item, n in found.items():
+                best[item] = max(n, best.get(item, 0))
+    return out
+
+
+def _groups(pages: Iterable[tuple[int, Page]]) -> Iterator[list[tuple[int, Page]]]:
+    """Pages of GROUP letters together at most; a longer one alone."""
+    held: list[tuple[int, Page]] = []
+    size = 0
+    for number, page in pages:
+        if held and size + len(page.raw) > GROUP:
+            yield held
+            held, size = [], 0
+        held.append((number, page))
+        size += len(page.raw)
+    if held:
+        yield held
+
+
+def _leaked_group(group: Sequence[tuple[int, Page]], index: ItemIndex, words: Words) -> Iterator[tuple[int, dict[int, int]]]:
+    """``leaked`` of each page that has a window of an item."""
+    if len(group[0][1].raw) > GROUP:
+        yield group[0][0], leaked(group[0][1], index, words)
+        return
+    prints, ends = words.group_fingerprints([page.raw for _, page in group])
     window, item_window = index.near(prints)
+    at = np.searchsorted(ends, window, side="right")
+    inside = window + WINDOW <= ends[at]
+    window, item_window, at = window[inside], item_window[inside], at[inside]
+    starts = np.concatenate([[0], ends])
+    for k in np.unique(at).tolist():
+        a, b = np.searchsorted(at, [k, k + 1])
+        number, page = group[k]
+        yield number, _leaked_from(page, index, window[a:b] - starts[k], item_window[a:b])
+
+
+def _leaked_from(page: Page, index: ItemIndex, window: np.ndarray, item_window: np.ndarray) -> dict[int, int]:
+    """``leaked`` by the pairs of windows of page and items that are alike, in order."""
     out: dict[int, int] = {}
-    if not len(window):
-        return out
     backward: tuple[str, list[int], dict[str, list[int]]] | None = None
     covered: dict[int, deque[tuple[int, int, int]]] = {}
-    for w, i in zip(window.tolist(), item_window.tolist(), strict=True):
-        item, first = int(index.owner[i]), int(index.place[i])
+    owner, place = index.owner[item_window], index.place[item_window]
+    for w, item, first in zip(window.tolist(), owner.tolist(), place.tolist(), strict=True):
         bounds = index.bounds[item]
         p, q = int(bounds[first]), page.start[w]
         if out.get(item, 0) >= len(index.words[item]):
@@ -419,17 +571,16 @@ def leaked(page: Page, index: ItemIndex, words: Words) -> dict[int, int]:
 
 def _printed_words(bounds: np.ndarray, words: Sequence[str], run: _Run) -> int:
     """Most consecutive words of the item within the run whose letters the page prints."""
-    ends = bounds[1:].tolist()
+    first, last = bisect_right(bounds, run.low, 1) - 1, bisect_left(bounds, run.high)
+    if last - first < MIN_WORDS:
+        return 0
     wrong: dict[int, int] = {}
     for x in set(run.errors):
-        word = bisect_right(ends, x)
+        word = bisect_right(bounds, x, 1) - 1
         wrong[word] = wrong.get(word, 0) + 1
-    first, last = bisect_right(ends, run.low), bisect_left(bounds.tolist(), run.high)
-    if last - first < MIN_WORDS:
-        return 0
     best = length = 0
     for i in range(first, last):
-        a, b = int(bounds[i]), ends[i]
+        a, b = int(bounds[i]), int(bounds[i + 1])
         inside = 4 * (min(b, run.high) - max(a, run.low)) >= 3 * (b - a)
         right = inside and wrong.get(i, 0) <= (0 if words[i].isdigit() else BAD_SHARE * (b - a))
         if right:
@@ -492,12 +643,11 @@ def _finder(items: Broadcast, name: str):
         words, index = _index(items, name)
         for batch in batches:
             docs, found, n_words = [], [], []
-            columns = batch.column(2).to_pylist()
-            for doc_id, text, cols, (x0, x1, y0) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), columns, page_rows(batch, 3), strict=True):
-                best: dict[int, int] = {}
-                for lines in readings(text, x0, x1, y0, cols):
-                    for item, n in leaked(Page(lines), index, words).items():
-                        best[item] = max(n, best.get(item, 0))
+            doc_ids = batch.column(0)
+            rows = enumerate(zip(batch.column(1).to_pylist(), page_rows(batch, 3), batch.column(2).to_pylist(), strict=True))
+            pages = ((row, Page(lines)) for row, (text, (x0, x1, y0), cols) in rows for lines in readings(text, x0, x1, y0, cols))
+            for row, best in leaked_all(pages, index, words).items():
+                doc_id = doc_ids[row].as_py()
                 ids: dict[str, int] = {}
                 for item, n in best.items():
                     for item_id in index.ids[item]:

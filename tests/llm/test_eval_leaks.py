@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparsemill.llm import eval_leaks as E
@@ -143,6 +144,51 @@ def test_multi_index_finds_all_within_radius():
     assert set(zip(w.tolist(), i.tolist())) == set(zip(*map(list, np.nonzero(distance <= E.RADIUS))))
 
 
+def test_pages_are_looked_up_together(monkeypatch):
+    lookups = []
+    near = E.ItemIndex.near
+    monkeypatch.setattr(E.ItemIndex, "near", lambda self, prints: lookups.append(len(prints)) or near(self, prints))
+    texts = [f"{ITEM} page{k}" if k % 100 == 7 else " ".join(f"{w}{k}" for w in OTHER) for k in range(300)]
+    none = pa.nulls(300, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts), pa.array([1] * 300), none, none, none], names=["doc_id", "text", "n_columns", "x0", "x1", "y0"])
+    items = type("Items", (), {"value": [("i1", ITEM)]})
+    (out,) = E._finder(items, "together")(iter([batch]))
+    assert out.to_pydict() == {"doc_id": [7, 107, 207], "item_id": ["i1"] * 3, "n_words": [len(WORDS)] * 3}
+    assert len(lookups) <= 3
+
+
+def test_grouped_pages_are_found_as_single_ones(monkeypatch):
+    monkeypatch.setattr(E, "GROUP", 900)
+    rnd = random.Random(4)
+    ends = ["", " ", "\n", "one", "- \n", "\x01\n", "x-\ny", "\u00ad\n\u2028", "½ ﬁ \u0301 '’ ■", " ".join(OTHER * 20), "".join(OTHER * 20)]
+    halves = [" ".join(WORDS[:16]), " ".join(WORDS[16:]), ITEM, "\n".join(lines_of(WORDS, 3)), "-\n".join(lines_of(WORDS, 1))]
+    texts = [rnd.choice(ends) + rnd.choice(["", *halves]) + rnd.choice(ends) for _ in range(300)]
+    words = E.Words()
+    index = E.ItemIndex([("a", ITEM), ("b", " ".join(WORDS[10:30]))], words)
+    single = {k: found for k, t in enumerate(texts) if (found := E.leaked(E.Page(t.split("\n")), index, E.Words()))}
+    words.LIMIT = 150
+    grouped = E.leaked_all(((k, E.Page(t.split("\n"))) for k, t in enumerate(texts)), index, words)
+    assert len(single) > 100 and {k: found for k, found in grouped.items() if found} == single
+    # A page of several readings.
+    assert E.leaked_all([(5, E.Page(["", ITEM])), (5, E.Page(WORDS[:14])), (6, E.Page([""]))], index, words) == {5: {0: len(WORDS), 1: 20}}
+
+
+def test_tokens_fold_as_pages_do():
+    text = "".join(f"a{chr(c)}b {chr(c)}{chr(c)} " for c in range(0x3000) if chr(c) != "\n")
+    page, words = E.Page([text]), E.Words()
+    names = {n: w for w in page.words for n in [words._known[w]]}
+    assert [names[n] for t in page.raw.split() for n in words._tokens[t]] == page.words
+    origins = [i for i, c in enumerate(page.raw) for x in E.FOLD[ord(c)] if x not in " \n\x01"]
+    assert [page.origin(k) for k in range(len(page.text))] == origins
+
+
+def test_many_pairs_are_compared_in_parts(monkeypatch):
+    index = E.ItemIndex([(str(k), ITEM) if k % 2 else (str(k), f"{ITEM} {k}") for k in range(40)], E.Words())
+    whole = index.near(index.prints)
+    monkeypatch.setattr(E, "PAIRS", 7)
+    assert len(whole[0]) > 500 and all(np.array_equal(a, b) for a, b in zip(whole, index.near(index.prints), strict=True))
+
+
 @pytest.mark.parametrize("text", ["", "one", "a\n\nb", "x    y\nz    w"])
 def test_readings_never_fail(text):
     for boxes in (None, [], [0], [None, None], [5, 900]):
